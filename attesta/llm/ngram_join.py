@@ -29,7 +29,7 @@ from attesta.llm.components import components, local_labels
 from attesta.llm.shared import Scratch, parts_of
 from attesta.llm.textarrays import U64, grams, keys64, mix64, row_runs, slices, text_bytes, word_hashes, words
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 CHUNK_SHINGLES = 1_000_000
 
 
@@ -102,7 +102,7 @@ def _postings(size: int, percent: int, parts: int):
                     held.append(s[: _prefix(len(s), percent)].copy())
                     cls.append(lo)
                     count += len(held[-1])
-            if count > 2_000_000:
+            if count > 1_000_000:
                 yield from flush()
                 count = 0
         if held:

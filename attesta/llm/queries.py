@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from attesta.llm.chat import OP1_SQL, op1_chat_formatting
+from attesta.llm.mixing import OP7_SQL, op7_poisson_mix
 from attesta.llm.ngram_join import op10_ngram_jaccard_join
+from attesta.llm.token_files import op6_token_files
 
 QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op6_token_files": op6_token_files,
+    "op7_poisson_mix": op7_poisson_mix,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": OP1_SQL,
+    "op7_poisson_mix": OP7_SQL,
+}

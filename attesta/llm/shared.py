@@ -26,6 +26,10 @@ class Scratch:
     """One operator call's tables under the shared folder. A table lives until drop() or close()."""
 
     def __init__(self, spark: SparkSession, name: str):
+        # whole texts pass in small Arrow batches, so their size does not add up
+        for key, value in (("maxRecordsPerBatch", "2000"), ("maxBytesPerBatch", "8m")):
+            if not spark.sparkContext.getConf().contains(f"spark.sql.execution.arrow.{key}"):
+                spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
         self.spark, self.path = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def at(self, name: str) -> str:

@@ -6,6 +6,7 @@ bytes in UTF-8, so words never split a character. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,6 +14,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+
+
+def _return_memory() -> None:
+    """Freed arrays go back to the system at once: an idle worker must not hold the peak of its last task."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 22)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_return_memory()
 _M1, _M2, _G = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
 
 
