@@ -30,7 +30,8 @@ from attesta.llm.shared import Scratch, parts_of
 from attesta.llm.textarrays import U64, grams, keys64, mix64, row_runs, slices, text_bytes, word_hashes, words
 
 SLICE = 1 << 20
-CHUNK_SHINGLES = 1_000_000
+#: Shingles, and for each set 32 more, that one task verifies at once.
+CHUNK = 500_000
 
 
 def shingle_sets(texts, size: int) -> list[np.ndarray]:
@@ -211,36 +212,44 @@ def _members(batches):
 
 
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect the sets just as all links would: each set found is compared with all not yet found."""
+    """Links that connect the sets just as all links would: each set found is compared with all not yet found.
+
+    A comparison reads the posting lists of the set's own shingles; the lists are built again when half of
+    their sets have been found, so a large group of copies is read about twice and not once for each member.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    flag = np.zeros(int(ids.max()) + 1 if len(ids) else 0, bool)
     ends = np.cumsum(sizes)
-    own = [ids[e - s : e] for s, e in zip(sizes, ends)]
-    rest = list(range(len(sets)))
+    n_ids = int(ids.max()) + 1 if len(ids) else 0
+    free = np.ones(len(sets), bool)
+    indexed = 0
     out, queue = [], []
-    flat = None
-    while rest:
-        if not queue:
-            queue.append(rest.pop(0))
-            flat = None
-        p = queue.pop()
-        if not rest:
-            break
-        if flat is None:
-            left = np.array(rest)
-            flat = np.concatenate([own[i] for i in rest])
-            starts = np.cumsum(sizes[left]) - sizes[left]
-        flag[own[p]] = True
-        common = np.add.reduceat(flag[flat].astype(np.int64), starts)
-        flag[own[p]] = False
-        hit = 100 * common >= percent * (sizes[p] + sizes[left] - common)
-        if hit.any():
-            got = left[hit].tolist()
-            out += [(p, i) for i in got]
-            queue += got
-            rest = left[~hit].tolist()
-            flat = None
+    for seed in range(len(sets)):
+        if not free[seed]:
+            continue
+        free[seed] = False
+        queue.append(seed)
+        while queue:
+            left = int(free.sum())
+            if not left:
+                return out
+            if not indexed or left * 2 < indexed:
+                member = np.repeat(free, sizes)
+                token, own = ids[member], np.repeat(np.arange(len(sets)), sizes)[member]
+                order = np.argsort(token, kind="stable")
+                own = own[order]
+                first = np.searchsorted(token[order], np.arange(n_ids + 1))
+                indexed = left
+            p = queue.pop()
+            mine = ids[ends[p] - sizes[p] : ends[p]]
+            a, c = first[mine], first[mine + 1] - first[mine]
+            at = np.repeat(a - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+            near, common = np.unique(own[at], return_counts=True) if len(at) < len(sets) else (np.arange(len(sets)), np.bincount(own[at], minlength=len(sets)))
+            hit = free[near] & (100 * common >= percent * (sizes[p] + sizes[near] - common))
+            got = near[hit]
+            free[got] = False
+            out += [(p, i) for i in got.tolist()]
+            queue += got.tolist()
     return out
 
 
@@ -263,11 +272,11 @@ def _verify(size: int, percent: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, chunk: int = CHUNK_SHINGLES) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, itself included), for each row.
 
-    size: words in a shingle. percent: least Jaccard similarity. chunk: shingles of a candidate set that one
-    task verifies at once; larger sets are cut into chunks and every pair of chunks is verified.
+    size: words in a shingle. percent: least Jaccard similarity. chunk: size of a candidate set that one task
+    verifies at once; larger sets are cut into chunks and every pair of chunks is verified.
     """
     spark = docs.sparkSession
     parts = parts_of(spark) * 3
@@ -284,7 +293,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = kinds.where("kind = 0").select("body").mapInArrow(_members, "lo long, grp long, n long")
     members = members.join(comps.select(F.col("node").alias("grp"), "component"), "grp", "left").select("lo", "n", F.coalesce("component", "grp").alias("comp"))
     reps = scratch.table(members.join(classes.select("lo", "n", "rep"), ["lo", "n"]).select("comp", "rep", "n"), "reps")
-    sizes = reps.groupBy("comp").agg(F.count("*").alias("m"), F.greatest(F.lit(1), F.ceil(F.sum("n") / chunk)).cast("int").alias("k")).where("m > 1")
+    sizes = reps.groupBy("comp").agg(F.count("*").alias("m"), F.greatest(F.lit(1), F.ceil(F.sum(F.col("n") + 32) / chunk)).cast("int").alias("k")).where("m > 1")
     cut = reps.join(sizes, "comp").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
     cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
         "comp", "rep",
@@ -292,7 +301,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.when(F.col("k") == 1, -1).otherwise(F.least("c", "o")).alias("i"),
         F.when(F.col("k") == 1, -1).otherwise(F.greatest("c", "o")).alias("j"),
     )
-    links = base.join(cut, F.col("doc_id") == F.col("rep")).select("comp", "doc_id", "text", "bin", "i", "j").groupBy("bin", "i", "j").applyInArrow(_verify(size, percent), "u long, v long")
+    links = base.join(cut.hint("merge"), F.col("doc_id") == F.col("rep")).select("comp", "doc_id", "text", "bin", "i", "j").groupBy("bin", "i", "j").applyInArrow(_verify(size, percent), "u long, v long")
     found = scratch.table(components(links, scratch, "link"), "components")
     of = classes.join(found, F.col("rep") == F.col("node"), "left").select("lo", "hi", "n", F.coalesce("component", "rep").alias("component_id"))
     keyed = info.join(of, ["lo", "hi", "n"], "left")

@@ -54,6 +54,7 @@ _BYTE = keys64(256, 11)[_FOLD]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE[SPACE] = 0
+_EXACT = keys64(256, 13)
 _PLACE = keys64(4096, 12)
 
 
@@ -111,15 +112,15 @@ def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, rows
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lower-cased."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, exact: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word with A-Z lower-cased, or of its exact bytes."""
     if not len(starts):
         return np.zeros(0, U64)
     lens = ends - starts
     total = int(lens.sum())
     first = np.cumsum(lens) - lens
     place = np.arange(total, dtype=np.int64) - np.repeat(first, lens)
-    value = _BYTE[raw[np.repeat(starts - first, lens) + np.arange(total, dtype=np.int64)]]
+    value = (_EXACT if exact else _BYTE)[raw[np.repeat(starts - first, lens) + np.arange(total, dtype=np.int64)]]
     value *= _places(int(lens.max()) + 1)[place]
     return mix64(np.add.reduceat(value, first) + lens.astype(U64) * _G)
 
