@@ -16,6 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,6 +161,23 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     return base.mapInArrow(_predict(model), f"doc_id {dict(base.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
 
 
+def _keep(model: dict, text_col: str, lang_col: str, min_score: float):
+    def run(batches):
+        for b in slices(batches, text_col, SLICE):
+            lang, score = classify(model, b.column(text_col))
+            known = pa.array(lang, pa.string())
+            filled = pc.coalesce(b.column(lang_col), known)
+            b = b.set_column(b.schema.get_field_index(lang_col), lang_col, filled)
+            yield b.filter(pc.and_(pc.not_equal(known, "und"), pa.array(score >= min_score)))
+
+    return run
+
+
+def keep_identified(docs: DataFrame, model: dict, text_col: str = "text", lang_col: str = "lang", min_score: float = 0.2) -> DataFrame:
+    """The rows of docs whose language is found with a score of min_score or more, in one pass; a null lang is filled in."""
+    return docs.mapInArrow(_keep(model, text_col, lang_col, min_score), docs.schema)
+
+
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
     Scratch(spark, "language")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

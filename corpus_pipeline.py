@@ -1,10 +1,65 @@
-"""The corpus pipeline: STAGES over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: STAGES over documents, each written as Parquet and read again by the next.
+
+All stages but the last return the columns of documents. A later stage has no oracle: learned models, edit distances
+and tokenizers are beyond SQL, so tests/llm compares run() with a brute-force version of its exact stages.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame
+
+from attesta.llm.decontamination import find_items
+from attesta.llm.language_id import keep_identified, learn
+from attesta.llm.mixing import poisson_mix
+from attesta.llm.ngram_join import ngram_jaccard_join
+from attesta.llm.shared import Scratch
+from attesta.llm.token_files import encode_documents, production_tokenizer
+
+
+def identify_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found; those without letters, or that no language fits, go. A missing lang is filled in."""
+    return keep_identified(docs, learn(docs))
+
+
+def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates; of repeated rows one. Rows without an id stay."""
+    first = ngram_jaccard_join(docs).where("component_id = doc_id").select("doc_id").distinct()
+    kept = docs.join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, not even with a tenth of its characters edited."""
+    found = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as drawn for its source."""
+    return poisson_mix(docs).select(docs.columns)
+
+
+def write_tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, read back from the token files."""
+    return encode_documents(docs, production_tokenizer())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("poisson_mix", mix_sources),
+    ("token_files", write_tokens),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = scratch.table(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if k:
+            scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
+    return docs
