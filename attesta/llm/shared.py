@@ -22,14 +22,22 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: Set where the session's configuration does not: whole texts pass in small Arrow batches, and the shuffle files of
+#: a step go when its table is written, not when the driver happens to collect garbage.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
 class Scratch:
     """One operator call's tables under the shared folder. A table lives until drop() or close()."""
 
     def __init__(self, spark: SparkSession, name: str):
-        # whole texts pass in small Arrow batches, so their size does not add up
-        for key, value in (("maxRecordsPerBatch", "2000"), ("maxBytesPerBatch", "8m")):
-            if not spark.sparkContext.getConf().contains(f"spark.sql.execution.arrow.{key}"):
-                spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+        for key, value in SETTINGS.items():
+            if not spark.sparkContext.getConf().contains(key):
+                spark.conf.set(key, value)
         self.spark, self.path = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def at(self, name: str) -> str:

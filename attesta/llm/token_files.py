@@ -4,8 +4,8 @@ A file: the header MAGIC, then int64 counts (bits, documents, ids, blocks, ids i
 byte for each that says it is null, int64 ids of each document, int64 byte offsets of the blocks, and the blocks. A block holds BLOCK_IDS ids at
 ``bits`` bits each, low bit first, padded to a byte; any run of ids is read from its blocks alone.
 
-Tokenizing: the tokenizer's words never span ASCII white space, so each distinct space-free chunk is encoded
-once by the tokenizers library and documents are put together from chunk ids in numpy.
+Tokenizing: the tokenizer's words never span ASCII white space, so each distinct space-free chunk (less a full stop or
+comma at its end, which the tokenizer cuts off) is encoded once by the tokenizers library and documents are put together from chunk ids in numpy.
 
 Documents are range-partitioned by id, so files follow each other in ascending id order; a task's files count
 only if the manifest names them, so repeated or lost tasks leave no trace. Defined cases: null and empty texts
@@ -15,23 +15,23 @@ other columns are ignored; a very long document may fill a file of its own.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.shared import Scratch, filesystem, parts_of, put
-from attesta.llm.textarrays import SPACE, U64, keys64, mix64, slices, text_bytes, words
+from attesta.llm.textarrays import U64, mix64, slices, text_bytes, word_hashes, words
 
 MAGIC = b"ATTBITS1"
 BLOCK_IDS = 1 << 16
-FILE_IDS = 8_000_000
-SLICE = 2 << 20
+FILE_IDS = 4_000_000
+SLICE = 1 << 20
 CACHE_WORDS = 1_000_000
 END_ID = 2
 
@@ -90,62 +90,96 @@ class TokenFile:
         return np.concatenate(out)
 
 
-_EXACT = keys64(256, 13)
-_EXACT[SPACE] = 0
+_TAIL, _ALPHA = np.zeros(256, bool), np.zeros(256, bool)
+_TAIL[[44, 46]] = True
+_ALPHA[65:91] = _ALPHA[97:123] = True
 
 
 class ChunkTokenizer:
-    """Ids of whole texts from the ids of their distinct chunks; the cache is emptied when it is full."""
+    """Ids of whole texts from the ids of their distinct chunks.
+
+    Known chunks are a sorted hash array with places in one flat id array, emptied when CACHE_WORDS are held. New chunks are
+    encoded many in one call, kept apart by a special token, which the library cuts out before anything else.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        special = [(i, t) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark, self.mark_text = (special[0][0], special[0][1].content) if special else (None, "")
+        say = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        #: Of these properties of the tokenizer fewer distinct chunks come; both are looked up, not assumed.
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AZaz") == "azaz"
+        self.cuts_tail = all(say(w + e) == say(w) + say(e) for w in ("a", "word", "it's", "l'été", "x1y") for e in ".,")
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.lens = [], []
+        self.hash, self.slot = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.flat, self.first, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks and the number of each."""
+        plain = np.array([self.mark is not None and "<" not in c for c in chunks], bool)
+        lens = np.zeros(len(chunks), np.int64)
+        out: list = [None] * len(chunks)
+        at = np.flatnonzero(plain)
+        pieces = []
+        for a in range(0, len(at), 4096):
+            some = at[a : a + 4096]
+            ids = np.array(self.tokenizer.encode(self.mark_text.join([chunks[i] for i in some]), add_special_tokens=False).ids, np.uint32)
+            cut = np.flatnonzero(ids == self.mark)
+            lens[some] = np.diff(np.r_[-1, cut, len(ids)]) - 1
+            pieces.append(np.delete(ids, cut))
+        joined = np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)
+        if len(at) == len(chunks):
+            return joined, lens
+        ends = np.cumsum(lens[at])
+        for i, e in zip(at, ends):
+            out[i] = joined[e - lens[i] : e]
+        for i in np.flatnonzero(~plain):
+            out[i] = np.array(self.tokenizer.encode(chunks[i], add_special_tokens=False).ids, np.uint32)
+            lens[i] = len(out[i])
+        return np.concatenate(out), lens
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has."""
-        from attesta.llm.textarrays import _G, _places
-
         raw, offs = text_bytes(texts)
         starts, ends, rows = words(raw, offs)
         n = len(offs) - 1
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        lens = ends - starts
-        place = np.arange(len(raw), dtype=np.int64)
-        place -= np.repeat(starts, np.diff(np.r_[starts, len(raw)])) if starts[0] == 0 else np.r_[np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.r_[starts, len(raw)]))]
-        value = _EXACT[raw]
-        # white space has value 0, so its place does not matter
-        value *= _places(int(place.max()) + 1)[place] if place.max() < 4096 else _places(int(lens.max()) + 1)[np.minimum(place, lens.max())]
-        h = mix64(np.add.reduceat(value, starts) + lens.astype(U64) * _G)
+        if self.cuts_tail:  # a full stop or comma after a letter is a chunk of its own
+            tail = np.flatnonzero(_TAIL[raw[ends - 1]] & (ends - starts > 1) & _ALPHA[raw[np.maximum(ends - 2, 0)]])
+            starts, rows, last = np.insert(starts, tail + 1, ends[tail] - 1), np.insert(rows, tail + 1, rows[tail]), ends[tail]
+            ends = ends.copy()
+            ends[tail] -= 1
+            ends = np.insert(ends, tail + 1, last)
+        h = word_hashes(raw, starts, ends, exact=not self.lowers)
+        if self.lowers and (mark := raw == 60).any():  # with "<" a special token may be spelt, and its case counts
+            odd = np.flatnonzero(np.add.reduceat(mark, starts))
+            h[odd] = mix64(word_hashes(raw, starts[odd], ends[odd], exact=True))
         one, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_WORDS:
+        if len(self.hash) > CACHE_WORDS:
             self.clear()
-        keys = one.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
+        place = np.searchsorted(self.hash, one)
+        known = place < len(self.hash)
+        known[known] = self.hash[place[known]] == one[known]
+        new = np.flatnonzero(~known)
+        if len(new):
             data = raw.tobytes()
-            found = self.tokenizer.encode_batch([data[starts[at[i]] : ends[at[i]]].decode("utf-8", "replace") for i in new], add_special_tokens=False)
-            base = len(self.lens)
-            for j, (i, e) in enumerate(zip(new, found)):
-                self.known[keys[i]] = base + j
-                ids = e.ids
-                self.flat.extend(ids)
-                self.lens.append(len(ids))
-            self._lens = np.array(self.lens, np.int64)
-            self._first = np.cumsum(self._lens) - self._lens
-            self._flat = np.array(self.flat, np.uint32)
-        word = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[inverse]
-        wl = self._lens[word]
-        total = int(wl.sum())
+            ids, lens = self._encode_new([data[starts[i] : ends[i]].decode("utf-8", "replace") for i in at[new]])
+            slot = len(self.lens) + np.arange(len(new))
+            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(lens) - lens])
+            self.lens, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.flat, ids])
+            self.hash, self.slot = np.insert(self.hash, place[new], one[new]), np.insert(self.slot, place[new], slot)
+            place = np.searchsorted(self.hash, one)
+        word = self.slot[place][inverse]
+        wl = self.lens[word]
         begin = np.cumsum(wl) - wl
-        ids = self._flat[np.repeat(self._first[word] - begin, wl) + np.arange(total, dtype=np.int64)]
+        ids = self.flat[np.repeat(self.first[word] - begin, wl) + np.arange(int(wl.sum()), dtype=np.int64)]
         return ids, np.bincount(rows, weights=wl, minlength=n).astype(np.int64)
 
 
