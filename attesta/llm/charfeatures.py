@@ -75,10 +75,13 @@ def take_apart(texts, lengths: tuple[int, ...], bits: int) -> Slice:
         z = np.zeros(0, np.int64)
         return Slice(n, z, z, z, z, 0, np.zeros(0, bool))
     _, at, word = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-    data = raw.tobytes()
-    # one-to-one by code point, so the number of words cannot change
-    joined = " " + " ".join(data[starts[i] : ends[i]].decode("utf-8", "replace").translate(_OTHER_SPACE) for i in at) + " "
-    lower = joined.lower()
+    # each distinct word after a space, and one at the end; words hold no space themselves
+    lens = ends[at] - starts[at]
+    to = np.cumsum(lens + 1) - lens
+    joined = np.full(int((lens + 1).sum()) + 1, 32, np.uint8)
+    step = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+    joined[np.repeat(to, lens) + step] = raw[np.repeat(starts[at], lens) + step]
+    lower = joined.tobytes().decode("utf-8", "replace").lower()
     cp = np.frombuffer(lower.encode("utf-32-le"), np.uint32)
     gap = cp == 32
     index = np.cumsum(gap) - 1
@@ -107,10 +110,6 @@ def take_apart(texts, lengths: tuple[int, ...], bits: int) -> Slice:
     return Slice(n, rows, word, np.concatenate(feature)[order], owner_all[order], len(at), letter)
 
 
-#: A space inside a word would split it.
-_OTHER_SPACE = {32: None}
-
-
 def held_out(id_col: str, modulus: int, remainder: int):
     """Column: crc32 of the id as text, modulo."""
     from pyspark.sql import functions as F

@@ -23,7 +23,7 @@ from attesta.llm.shared import Scratch
 from attesta.llm.textarrays import slices
 
 LENGTHS, BITS = (3, 4, 5), 20
-MAX_ROWS, KEPT, SMOOTH, PENALTY, STEPS = 12_000, 20_000, 0.5, 2e-3, 300
+MAX_ROWS, KEPT, SMOOTH, PENALTY, STEPS = 12_000, 10_000, 0.5, 2e-3, 300
 SLICE = 1 << 20
 
 
