@@ -38,7 +38,7 @@ FAMILIES = {
     "semitic": "ar he am mt",
 }
 LENGTHS, BITS = (1, 2, 3, 4), 17
-MAX_ROWS, PER_LANGUAGE = 8_000, 1_500
+MAX_ROWS, PER_LANGUAGE = 4_000, 500
 EPOCHS, PENALTY = 60, 1e-4
 SLICE = 1 << 20
 
