@@ -28,11 +28,10 @@ from attesta.llm.shared import Scratch
 from attesta.llm.textarrays import U64, keys64, mix64, slices
 
 MAX_EDITS, MIN_CHARS = 0.1, 20
-Q, TABLE_BITS = 6, 22
-WALKS, TABLES, SAMPLE, STRIDE = 6, 12, 5, 3
+Q, TABLE_BITS = 8, 23
+WALKS, TABLES, SAMPLE, STRIDE = 4, 16, 5, 3
 ITEMS, ITEM_CHARS = 4096, 4_000_000
 SLICE, PENDING = 2 << 20, 30_000
-BLOCK = 64
 _SPACES = np.zeros(128, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -52,13 +51,19 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def q_grams(cp: np.ndarray, q: int) -> np.ndarray:
-    keys = keys64(q, 80 + q)
-    h = np.zeros(max(0, len(cp) - q + 1), U64)
-    for i in range(q):
-        h += cp[i : i + len(h)] * keys[i]
-    h ^= h >> U64(31)
-    h *= keys[0]
-    return (h >> U64(64 - TABLE_BITS)).astype(np.int64)
+    """Hash of each run of q code points: of the largest power of two, doubled, and two of these that overlap."""
+    keys = keys64(8, 80)
+    h, size, k = cp.astype(U64) + U64(1), 1, 0
+    while True:
+        step = min(size, q - size)
+        if len(cp) < q or not step:
+            break
+        h = h[:-step] * keys[k] + h[step:]
+        h ^= h >> U64(31)
+        size, k = size + step, k + 1
+    h = h[: max(0, len(cp) - q + 1)] * keys[7]
+    h ^= h >> U64(29)
+    return (h * keys[6] >> U64(64 - TABLE_BITS)).astype(np.int64)
 
 
 class Bucket:
@@ -72,12 +77,15 @@ class Bucket:
         self.q = min(Q, min(n // (k + 1) for n, k in zip(sizes, self.edits)))
         self.need = max(1, min(n - self.q + 1 - k * self.q for n, k in zip(sizes, self.edits)))
         self.width = max(n + k for n, k in zip(sizes, self.edits))
-        self.steps = 2 * min(sizes)
+        # at half a character a step a walk stays within the shortest item
+        self.steps = max(SAMPLE, int(1.6 * min(sizes)))
         self.bits, self.sampled = walk_plan(self.steps)
         self.masks = [match_masks(x) for _, x in items]
-        flat = np.concatenate([np.r_[x, np.zeros(self.width, np.uint32)] for _, x in items])
-        starts = np.cumsum([0] + [n + self.width for n in sizes[:-1]])
-        self.keys = embed(flat, starts, np.array(sizes) + starts, self.bits, self.sampled)
+        flat = np.concatenate([np.r_[x, np.zeros(self.steps, np.uint32)] for _, x in items])
+        starts = np.cumsum([0] + [n + self.steps for n in sizes[:-1]])
+        self.keys = embed(flat, starts, self.bits, self.sampled)
+        self.grams = [np.unique(q_grams(x, self.q)) for _, x in items]
+        self.least = [max(1, n - self.q + 1 - k * self.q) for n, k in zip(sizes, self.edits)]
         self.order = np.argsort(self.keys, axis=1, kind="stable")
         self.sorted = np.take_along_axis(self.keys, self.order, 1)
 
@@ -101,22 +109,23 @@ def walk_plan(steps: int) -> tuple[np.ndarray, np.ndarray]:
     return bits, sampled
 
 
-def embed(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: np.ndarray, sampled: np.ndarray) -> np.ndarray:
-    """Hash of the sampled characters by table (walk by walk) and window. Past its end a window reads 0."""
+def embed(cp: np.ndarray, starts: np.ndarray, bits: np.ndarray, sampled: np.ndarray) -> np.ndarray:
+    """Hash of the sampled characters by table (walk by walk) and window. The last window must not be nearer to the end than the walk is long."""
     out = np.zeros((sampled.shape[0] * sampled.shape[1], len(starts)), U64)
     keys = keys64(sampled.shape[2], 91)
+    low, full = (cp & np.uint32(255)).astype(np.uint8), cp.astype(U64) + U64(1)
     for w in range(sampled.shape[0]):
-        at = starts.copy()
+        at = starts.astype(np.int64)
         users: dict[int, list[tuple[int, int]]] = {}
         for t, js in enumerate(sampled[w]):
             for k, j in enumerate(js):
                 users.setdefault(int(j), []).append((w * sampled.shape[1] + t, k))
         for j in range(max(users) + 1):
-            c = cp[np.minimum(at, ends - 1)]
-            c = np.where(at < ends, c, np.uint32(0))
-            for t, k in users.get(j, ()):
-                out[t] += (c.astype(U64) + U64(1)) * keys[k]
-            at += bits[w, j][c & np.uint32(255)]
+            if j in users:
+                c = full[at]
+                for t, k in users[j]:
+                    out[t] += c * keys[k]
+            at += bits[w, j][low[at]]
     return mix64(out.ravel()).reshape(out.shape)
 
 
@@ -178,15 +187,17 @@ def _find(items: list[tuple[int, np.ndarray]], max_edits: float):
         def settle(n):
             """Candidates of the held regions of a bucket, verified."""
             b, regions = buckets[n], pending[n]
-            cp = np.concatenate([r[1] for r in regions])
+            cp = np.concatenate([*[r[1] for r in regions], np.zeros(b.steps, np.uint32)])
             base = np.cumsum([0] + [len(r[1]) for r in regions[:-1]])
             counts = np.array([len(range(0, r[2], STRIDE)) for r in regions])
             which = np.repeat(np.arange(len(regions)), counts)
             starts = base[which] + (np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)) * STRIDE
-            ends = np.minimum(starts + b.width, base[which] + np.array([len(r[1]) for r in regions])[which])
-            w, i = b.candidates(embed(cp, starts, ends, b.bits, b.sampled))
+            w, i = b.candidates(embed(cp, starts, b.bits, b.sampled))
             for key in np.unique(which[w] * np.int64(len(b.items)) + i).tolist():
                 r, i = regions[key // len(b.items)], key % len(b.items)
+                # the item's own q-grams, before the item's own edits
+                if np.isin(q_grams(r[1], b.q), b.grams[i]).sum() < b.least[i]:
+                    continue
                 d, end = best_match(b.masks[i], len(b.items[i][1]), r[1].tolist())
                 if d <= b.edits[i]:
                     rows.append((r[0], b.items[i][0], d, len(b.items[i][1]), r[3] + end))
@@ -202,13 +213,12 @@ def _find(items: list[tuple[int, np.ndarray]], max_edits: float):
             cp, offs = code_points(pc.fill_null(batch.column("text"), "").to_pylist())
             for q, table in tables.items():
                 hits = table[q_grams(cp, q)]
-                if not len(hits):
-                    continue
-                short = np.r_[hits, np.zeros(-len(hits) % BLOCK, np.uint32)].reshape(-1, BLOCK)
+                where = np.flatnonzero(hits)
+                hits = hits[where]
                 for n, b in enumerate(buckets):
                     if b.q != q:
                         continue
-                    for a, e in regions_of(hits, short, np.uint32(1 << n), b):
+                    for a, e in regions_of(where[hits & np.uint32(1 << n) != 0], b):
                         # a region is cut where documents meet
                         d = int(np.searchsorted(offs, a, "right")) - 1
                         while a < e:
@@ -230,26 +240,18 @@ def _find(items: list[tuple[int, np.ndarray]], max_edits: float):
     return run
 
 
-def regions_of(hits: np.ndarray, blocks: np.ndarray, bit: np.uint32, b: Bucket) -> list[tuple[int, int]]:
-    """Runs [a, e) of starts whose window holds enough q-grams of the bucket."""
-    some = (blocks & bit != 0).sum(1)
-    total = np.r_[0, np.cumsum(some)]
-    reach = b.width // BLOCK + 2
-    upper = total[np.minimum(np.arange(len(some)) + reach, len(some))] - total[:-1]
-    live = np.flatnonzero(upper >= b.need)
-    if not len(live):
+def regions_of(at: np.ndarray, b: Bucket) -> list[tuple[int, int]]:
+    """Runs [a, e) of starts whose window holds enough of the bucket's q-grams, which begin at ``at``."""
+    reach = b.width - b.q
+    if len(at) < b.need:
         return []
-    out: list[tuple[int, int]] = []
-    for s in np.split(live, np.flatnonzero(np.diff(live) > 1) + 1):
-        a, e = int(s[0]) * BLOCK, min((int(s[-1]) + 1) * BLOCK, len(hits))
-        own = hits[a : min(e + b.width, len(hits))] & bit != 0
-        c = np.r_[0, np.cumsum(own)]
-        at = np.arange(e - a)
-        good = np.flatnonzero(c[np.minimum(at + b.width - b.q + 1, len(own))] - c[at] >= b.need)
-        if len(good):
-            cut = np.flatnonzero(np.diff(good) > STRIDE)
-            out += [(a + int(x), a + int(y) + 1) for x, y in zip(good[np.r_[0, cut + 1]], good[np.r_[cut, len(good) - 1]])]
-    return out
+    first, last = at[: len(at) - b.need + 1], at[b.need - 1 :]
+    near = np.flatnonzero(last - first <= reach)
+    if not len(near):
+        return []
+    a, e = np.maximum(last[near] - reach, 0), first[near] + 1
+    cut = np.flatnonzero(a[1:] > e[:-1] + STRIDE)
+    return list(zip(a[np.r_[0, cut + 1]].tolist(), e[np.r_[cut, len(a) - 1]].tolist()))
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
