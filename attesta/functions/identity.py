@@ -72,11 +72,13 @@ _DOTTED = r"^[._]*([a-z]{2,})(?:[._]+[a-z])?[._]+([a-z]+-[a-z]+|[a-z]{2,})[._]*$
 _DASHED = r"^-*([a-z]{2,})(?:-+[a-z])?-+([a-z]{2,})-*$"
 
 
+_EITHER = f"^(?:{_DOTTED[1:-1]}|{_DASHED[1:-1]})$"
+
+
 def name_from_local(local: Column) -> Column:
     """struct<first, last> or null."""
-    pattern = F.when(local.rlike(_DOTTED), _DOTTED).when(local.rlike(_DASHED), _DASHED)
-    pick = lambda k: F.when(local.rlike(_DOTTED), F.regexp_extract(local, _DOTTED, k)).otherwise(F.regexp_extract(local, _DASHED, k))
-    return F.when(pattern.isNotNull(), F.struct(pick(1).alias("first"), pick(2).alias("last")))
+    both = lambda i: F.concat(F.regexp_extract(local, _EITHER, i), F.regexp_extract(local, _EITHER, i + 2))
+    return F.when(local.rlike(_EITHER), F.struct(both(1).alias("first"), both(2).alias("last")))
 
 
 def name_from_display(display: Column) -> Column:
