@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm.components import components, local_labels
 from attesta.llm.shared import Scratch
+from attesta.llm.textarrays import lean
 
 BLOCK, CHUNK, TILE = 8, 8192, 1024
 SLACK = 1e-9
@@ -74,24 +75,25 @@ def _slabs(cosine: float):
     return run
 
 
-def tile_links(x: np.ndarray, y: np.ndarray, bx: np.ndarray, by: np.ndarray, block: int, dims: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs of a tile that belong to this block: x, y unit vectors, bx, by rotated ones."""
-    spans = cuts(dims)
-    budgets = [(2 - 2 * cosine) * (e - a) / dims + SLACK for a, e in spans]
+def sides(bx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Single-precision factors whose product is the squared distance of each pair."""
+    n, one = (bx * bx).sum(1, keepdims=True), np.ones((len(bx), 1))
+    return np.hstack([-2 * bx, n, one]).astype(np.float32), np.hstack([bx, one, n]).astype(np.float32)
 
-    def near(k):
-        a, e = spans[k]
-        u, v = bx[:, a:e], by[:, a:e]
-        return (u * u).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * (u @ v.T)
 
-    # a little more than the budget: the exact sums below decide
-    i, j = np.nonzero(near(block) <= budgets[block] + SLACK)
+def tile_links(near: np.ndarray, x: np.ndarray, y: np.ndarray, bx: np.ndarray, by: np.ndarray, block: int, dims: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs of a tile that belong to this block: near squared distances in the block, x, y unit vectors, bx, by rotated ones."""
+    spans = cuts(dims)
+    budgets = [(2 - 2 * cosine) * (e - a) / dims + SLACK for a, e in spans]
+    # far more than single precision may err; the exact sums below decide
+    at = np.flatnonzero(near <= np.float32(budgets[block] + 1e-5))
+    i, j = at // near.shape[1], at % near.shape[1]
     if not len(i):
         return i, j
-    if len(i) > 0.05 * len(x) * len(y):
+    if len(i) > 0.05 * near.size:
         ok = (x @ y.T)[i, j] >= cosine - 1e-12
         i, j = i[ok], j[ok]
-    keep = []
+    keep = [np.zeros(0, np.int64)]
     for s in range(0, len(i), 50_000):
         p, q = i[s : s + 50_000], j[s : s + 50_000]
         ok = np.einsum("ij,ij->i", x[p], y[q]) >= cosine
@@ -110,6 +112,7 @@ _OUT = pa.schema([("kind", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])
 
 
 def _join(cosine: float):
+    @lean
     def run(table: pa.Table) -> pa.Table:
         block, dims = table.column("block")[0].as_py(), table.column("dims")[0].as_py()
         side = table.column("side").to_numpy()
@@ -120,12 +123,13 @@ def _join(cosine: float):
         bx = x @ rotation(dims)[:, : cuts(dims)[block][1]]
         n = int((side == 0).sum())
         apart = n < len(side)  # two chunks; otherwise one with itself
+        left, right = sides(bx[:, slice(*cuts(dims)[block])])
         links, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
         for a in range(0, n, TILE):
             ends = range(n, len(rep), TILE) if apart else range(a, n, TILE)
             for c in ends:
                 p, q = slice(a, min(a + TILE, n)), slice(c, min(c + TILE, len(rep) if apart else n))
-                i, j = tile_links(x[p], x[q], bx[p], bx[q], block, dims, cosine)
+                i, j = tile_links(left[p] @ right[q].T, x[p], x[q], bx[p], bx[q], block, dims, cosine)
                 i, j = i + a, j + c
                 if not apart:
                     i, j = i[i < j], j[i < j]
