@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from attesta.llm import exchange as X
 from attesta.llm.components import components, local_labels
 from attesta.llm.shared import Scratch, parts_of
-from attesta.llm.textarrays import U64, grams, keys64, mix64, row_runs, slices, text_bytes, word_hashes, words
+from attesta.llm.textarrays import U64, grams, keys64, lean, mix64, row_runs, slices, text_bytes, word_hashes, words
 
 SLICE = 1 << 20
 #: Shingles, and for each set 32 more, that one task verifies at once.
@@ -254,6 +254,7 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _verify(size: int, percent: int):
+    @lean
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("comp", "ascending"), ("doc_id", "ascending")])
         comp = table.column("comp").to_numpy()
@@ -310,3 +311,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same rows in DuckDB SQL; all pairs with a common shingle are counted.
+OP10_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 2))) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT u, v FROM common JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 75 * (a.n + b.n - c)),
+reach(u, v) AS (SELECT u, v FROM link UNION SELECT r.u, l.v FROM reach r JOIN link l ON r.v = l.u)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce((SELECT min(v) FROM reach WHERE u = d.doc_id), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+"""

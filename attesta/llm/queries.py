@@ -8,7 +8,7 @@ from attesta.llm.embedding_dedup import OP8_SQL, op8_embedding_near_dedup
 from attesta.llm.kneser_ney import op2_lm_scoring
 from attesta.llm.language_id import op5_language_id
 from attesta.llm.mixing import OP7_SQL, op7_poisson_mix
-from attesta.llm.ngram_join import op10_ngram_jaccard_join
+from attesta.llm.ngram_join import OP10_SQL, op10_ngram_jaccard_join
 from attesta.llm.suffix_dedup import op4_suffix_dedup
 from attesta.llm.token_files import op6_token_files
 from attesta.llm.toxicity import op3_toxicity
@@ -30,4 +30,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": OP1_SQL,
     "op7_poisson_mix": OP7_SQL,
     "op8_embedding_near_dedup": OP8_SQL,
+    "op10_ngram_jaccard_join": OP10_SQL,
 }
