@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from attesta.operators import interactions as I
+from attesta.operators import linking, search
 from attesta.plans.projection import MODEL_SQL, load
 
 ORG_A, ORG_B, PERSON_A, PERSON_B, EVENT = "n:3", "n:7", "c:5", "s:5", "o:3"
@@ -85,6 +86,10 @@ QUERIES = {
     "people_network": _model(lambda m: I.people_network(m.parts)),
     "broadcast_only_people": _model(lambda m: m.parts.select("person_id").distinct().join(I.receivers(m.parts), "person_id", "left_anti")),
     "neighborhood": _model(lambda m: I.neighborhood(_edges(m), PERSON_B, 2, 5)),
+    "find_person": _model(lambda m: linking.find(m.people, m.orgs, m.parts, "Customer#000000005", PERSON_B)),
+    "find_company": _model(lambda m: linking.find(m.people, m.orgs, m.parts, "NATION_1", PERSON_B)),
+    "passage_search": lambda s, d: search.bm25(s.read.parquet(f"{d}/documents.parquet"), "this work is licensed under the general public license"),
+    "vector_search": lambda s, d: search.cosine(s.read.parquet(f"{d}/embeddings.parquet"), [1.0] * 64),
 }
 
 _PEERS = f"""WITH {MODEL_SQL},
@@ -136,6 +141,11 @@ pairs AS (SELECT s.person_id AS sender_id, g.person_id AS receiver_id, count(DIS
   WHERE s.role = 'sender' AND g.role IN {TO} AND s.person_id <> g.person_id GROUP BY ALL),
 best AS (SELECT person_id FROM (SELECT sender_id AS person_id, emails FROM pairs UNION ALL SELECT receiver_id, emails FROM pairs) GROUP BY 1 ORDER BY sum(emails) DESC, 1 LIMIT 60)
 SELECT * FROM pairs WHERE emails >= 2 AND sender_id IN (FROM best) AND receiver_id IN (FROM best)""",
+    "passage_search": """WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents),
+k AS (SELECT count(*) AS n, avg(len(w)) AS a FROM t), h AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t),
+f AS (SELECT doc_id, dl, term, count(*) AS tf FROM h WHERE term IN ('this', 'work', 'is', 'licensed', 'under', 'the', 'general', 'public', 'license') GROUP BY ALL), c AS (SELECT term, count(*) AS df FROM f GROUP BY 1)
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM f JOIN c USING (term), k GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12""",
+    "vector_search": "SELECT vec_id, round(list_cosine_similarity([x::DOUBLE for x in embedding], [1.0::DOUBLE for x in range(64)]), 6) AS score FROM embeddings ORDER BY 2 DESC, 1 LIMIT 12",
     "broadcast_only_people": f"WITH {MODEL_SQL} SELECT DISTINCT person_id FROM parts WHERE person_id NOT IN (SELECT person_id FROM parts WHERE role <> 'sender')",
     "neighborhood": f"""WITH {MODEL_SQL},
 e AS (SELECT person_id AS a, event_id AS b, max(event_at) AS t FROM parts JOIN happenings USING (event_id) GROUP BY ALL UNION ALL SELECT event_id, person_id, max(event_at) FROM parts JOIN happenings USING (event_id) GROUP BY ALL),

@@ -112,3 +112,19 @@ def test_route():
     assert answer.route("q", say("mixed"), graph, content)["route"] == "mixed"
     assert answer.route("q", say("clarify"), graph, content)["route"] == "clarify"
     assert answer.route("q", lambda q: 1 / 0, graph, content)["route"] == "content"
+
+
+def test_tools(spark, sf_dir):
+    from attesta.operators.tools import Tools
+    from attesta.plans.projection import load
+
+    t = Tools(load(spark, sf_dir), passages=spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), asker="s:5")
+    assert {x["name"] for x in t.describe()} == {"find", "interactions", "contacts", "participants", "search", "read"}
+    found = t.call("find", {"name": "Customer#000000005"})
+    assert found["candidates"][0]["id"] == "c:5" and found["candidates"][0]["ref"] == "G1"
+    got = t.call("interactions", {"entity": "n:3", "other": "n:7"})
+    assert got["totals"]["emails"] > 0 and got["events"] and got["by_person"]
+    assert t.call("contacts", {"entity": "n:3", "limit": 99})["count"] >= len(t.call("contacts", {"entity": "n:3", "limit": 5})["contacts"]) == 5
+    assert t.call("participants", {"event": "o:3"})["participants"]
+    assert t.call("search", {"query": "license version"})["passages"][0]["ref"].startswith("S")
+    assert "no tool" in t.call("dance", {})["error"] and "has no" in t.call("find", {"x": 1})["error"] and "error" in t.call("read", {"document": "d"})
