@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from attesta.llm.textarrays import lean
+
 BLOB = "part int, body binary"
 _BLOB = pa.schema([("part", pa.int32()), ("body", pa.binary())])
 
@@ -49,6 +51,7 @@ def blobs(part: np.ndarray, columns: Sequence[np.ndarray]) -> Iterator[pa.Record
 def reduce(df: DataFrame, dtypes: Sequence, fn: Callable[[int, list[np.ndarray]], pa.Table], schema) -> DataFrame:
     """fn(part, columns) of each part; fn returns a table of ``schema``."""
 
+    @lean
     def run(table: pa.Table) -> pa.Table:
         got = [unpack(memoryview(b.as_buffer()), dtypes) for b in table.column("body").combine_chunks()] if table.num_rows else []
         part = table.column("part")[0].as_py()

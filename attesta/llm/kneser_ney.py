@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from attesta.llm import exchange as X
 from attesta.llm.charfeatures import held_out
 from attesta.llm.shared import Scratch, filesystem, parts_of, put
-from attesta.llm.textarrays import U64, keys64, mix64, slices, text_bytes, word_hashes, words
+from attesta.llm.textarrays import U64, keys64, lean, mix64, slices, text_bytes, word_hashes, words
 
 START, END = (int(x) for x in keys64(2, 61))
 SLICE = 1 << 20
@@ -154,6 +154,7 @@ def _manifest(level, kind, part, path, stats) -> pa.RecordBatch:
 def _level(folder: str, parts: int, hot: np.ndarray):
     """One exchange's reducer: n-grams become shards and send on; contexts and words become shards; manifest rows pass."""
 
+    @lean
     def run(table: pa.Table) -> pa.Table:
         at = table.column("part")[0].as_py()
         if at < 0:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm import exchange as X
 from attesta.llm.shared import Scratch, parts_of
-from attesta.llm.textarrays import U64, keys64, mix64, slices, text_bytes
+from attesta.llm.textarrays import U64, keys64, lean, mix64, slices, text_bytes
 
 DEPTH, ANCHOR, HOT = 200, 32, 4096
 SLICE = 1 << 20
@@ -177,6 +177,7 @@ def _first_digit(depth: int, parts: int):
 def _split(parts: int, hot: int):
     """Drops minimizers of one hull, tells what equal hulls repeat, asks for the bytes of the others."""
 
+    @lean
     def run(table: pa.Table) -> pa.Table:
         if table.column("kind")[0].as_py() == REPEATED:
             return table
@@ -267,6 +268,7 @@ def _merged(parts, key, doc, check, at, want):
 
 
 def _last_digits(depth: int, parts: int):
+    @lean
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
         if kind == REPEATED:
