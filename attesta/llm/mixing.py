@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.shared import parts_of
+from attesta.llm.shared import Scratch, parts_of
 
 #: Mean of one inversion; larger means are sums of independent draws.
 STEP = 16.0
@@ -53,8 +53,8 @@ def source_rates(docs: DataFrame, source: str, text: str, weights: dict[str, flo
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Every row of docs as often as drawn, with mix_copy (from 1), mix_copies and mix_key, the place in the global order."""
     docs = docs.drop("mix_copy", "mix_copies", "mix_key")
-    rates = source_rates(docs, source_col, text_col, weights, alpha)
-    # a row for each source: broadcast only when there are few
+    # a row for each source, counted in one pass and kept; broadcast only when there are few
+    rates = Scratch(docs.sparkSession, "mix").table(source_rates(docs, source_col, text_col, weights, alpha), "rates")
     few = rates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rates = rates.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("int"))
     rates = rates.select("mix_source", "draws", _cdf(F.col("rate") / F.col("draws")).alias("cdf"))
