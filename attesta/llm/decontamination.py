@@ -1,13 +1,12 @@
-"""Benchmark decontamination: item-sized windows by CGK embedding and bit-sampling LSH, then exact edit distance.
+"""Benchmark decontamination: item-sized windows by lossless q-gram counts, then exact edit distance.
 
 A document is contaminated by an item if a passage of it is within k = floor(max_edits * length) edits of the item; texts
-are compared by code point with A-Z lower-cased and white space runs as one space. Steps:
+are compared by code point with A-Z lower-cased and white space runs as one space. No step loses a passage:
 
-1. Where to look. A passage within k edits keeps L - q + 1 - k q of the item's q-grams. Items of like length share a bucket;
-   positions where an item-sized window holds fewer q-grams of its bucket than that are left out, which loses nothing.
-2. Windows at the remaining starts, STRIDE apart, take WALKS random CGK walks (a pointer moves on or stays by a random
-   bit of step and character), which turn edit distance into Hamming distance. TABLES samples of SAMPLE steps of each walk are hashed;
-   a window and an item that agree in one are a candidate. Repetition reaches the target recall (measured in the tests).
+1. Where to look. A passage within k edits keeps L - q + 1 - k q of the item's q-grams, one at least by the choice of q. Items
+   of like length share a bucket; positions where an item-sized window holds fewer q-grams of its bucket than that are left out.
+2. For which item. The q-grams of what remains are looked up in the bucket's postings, and each item is counted by itself:
+   places where a window of its own length holds enough of its own q-grams are candidates.
 3. Candidates are verified by bit-parallel approximate matching: the least edit distance of the item to any passage.
 
 Items are sent to workers in blocks of at most ITEMS items and ITEM_CHARS characters, one pass over the documents for each block, so what is
@@ -25,13 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.shared import Scratch
-from attesta.llm.textarrays import U64, keys64, mix64, slices
+from attesta.llm.textarrays import U64, keys64, slices
 
 MAX_EDITS, MIN_CHARS = 0.1, 20
 Q, TABLE_BITS = 8, 23
-WALKS, TABLES, SAMPLE, STRIDE = 4, 16, 5, 3
 ITEMS, ITEM_CHARS = 4096, 4_000_000
-SLICE, PENDING = 2 << 20, 30_000
+SLICE, PENDING, PAIRS = 2 << 20, 100_000, 4_000_000
 _SPACES = np.zeros(128, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -77,56 +75,35 @@ class Bucket:
         self.q = min(Q, min(n // (k + 1) for n, k in zip(sizes, self.edits)))
         self.need = max(1, min(n - self.q + 1 - k * self.q for n, k in zip(sizes, self.edits)))
         self.width = max(n + k for n, k in zip(sizes, self.edits))
-        # at half a character a step a walk stays within the shortest item
-        self.steps = max(SAMPLE, int(1.6 * min(sizes)))
-        self.bits, self.sampled = walk_plan(self.steps)
         self.masks = [match_masks(x) for _, x in items]
-        flat = np.concatenate([np.r_[x, np.zeros(self.steps, np.uint32)] for _, x in items])
-        starts = np.cumsum([0] + [n + self.steps for n in sizes[:-1]])
-        self.keys = embed(flat, starts, self.bits, self.sampled)
-        self.grams = [np.unique(q_grams(x, self.q)) for _, x in items]
-        self.least = [max(1, n - self.q + 1 - k * self.q) for n, k in zip(sizes, self.edits)]
-        self.order = np.argsort(self.keys, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(self.keys, self.order, 1)
-
-    def candidates(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) that agree in a table."""
-        w, i = [], []
-        for t in range(len(keys)):
-            a, b = np.searchsorted(self.sorted[t], keys[t], "left"), np.searchsorted(self.sorted[t], keys[t], "right")
-            n = b - a
-            hit = np.flatnonzero(n)
-            w.append(np.repeat(hit, n[hit]))
-            i.append(self.order[t][np.repeat(a[hit] - (np.cumsum(n[hit]) - n[hit]), n[hit]) + np.arange(int(n.sum()))])
-        return np.concatenate(w), np.concatenate(i)
-
-
-def walk_plan(steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random bits by walk, step and character (mod 256); for each walk and table the sampled steps."""
-    rng = np.random.default_rng(9)
-    bits = rng.integers(0, 2, (WALKS, steps, 256), dtype=np.int8)
-    sampled = np.sort(np.stack([[rng.choice(steps, min(SAMPLE, steps), replace=False) for _ in range(TABLES)] for _ in range(WALKS)]), axis=2)
-    return bits, sampled
-
-
-def embed(cp: np.ndarray, starts: np.ndarray, bits: np.ndarray, sampled: np.ndarray) -> np.ndarray:
-    """Hash of the sampled characters by table (walk by walk) and window. The last window must not be nearer to the end than the walk is long."""
-    out = np.zeros((sampled.shape[0] * sampled.shape[1], len(starts)), U64)
-    keys = keys64(sampled.shape[2], 91)
-    low, full = (cp & np.uint32(255)).astype(np.uint8), cp.astype(U64) + U64(1)
-    for w in range(sampled.shape[0]):
-        at = starts.astype(np.int64)
-        users: dict[int, list[tuple[int, int]]] = {}
-        for t, js in enumerate(sampled[w]):
-            for k, j in enumerate(js):
-                users.setdefault(int(j), []).append((w * sampled.shape[1] + t, k))
-        for j in range(max(users) + 1):
-            if j in users:
-                c = full[at]
-                for t, k in users[j]:
-                    out[t] += c * keys[k]
-            at += bits[w, j][low[at]]
-    return mix64(out.ravel()).reshape(out.shape)
+        self.least = np.array([n - self.q + 1 - k * self.q for n, k in zip(sizes, self.edits)])
+        self.wide = np.array([n + k for n, k in zip(sizes, self.edits)])
+        grams = [np.unique(q_grams(x, self.q)) for _, x in items]
+        # (q-gram, item) in order, so that a range of items is a range of each q-gram's postings
+        self.postings = np.sort(np.concatenate(grams) * len(items) + np.repeat(np.arange(len(items)), [len(g) for g in grams]))
+
+    def candidates(self, grams: np.ndarray, at: np.ndarray, lo: int, hi: int):
+        """(item, first start, last start) where a window holds enough of the q-grams of an item in [lo, hi). ``at``: places of ``grams``, ascending."""
+        n = len(self.items)
+        a, b = np.searchsorted(self.postings, grams * n + lo), np.searchsorted(self.postings, grams * n + hi)
+        count = b - a
+        total = int(count.sum())
+        if total > PAIRS and hi - lo > 1:
+            yield from self.candidates(grams, at, lo, (lo + hi) // 2)
+            yield from self.candidates(grams, at, (lo + hi) // 2, hi)
+            return
+        item = self.postings[np.repeat(a - (np.cumsum(count) - count), count) + np.arange(total)] % n
+        order = np.argsort(item.astype(np.int16 if n < 1 << 15 else np.int64), kind="stable")
+        item, at = item[order], np.repeat(at, count)[order]
+        last = np.arange(total) + self.least[item] - 1
+        first = np.flatnonzero(last < total)
+        first = first[item[last[first]] == item[first]]
+        reach = self.wide[item[first]] - self.q
+        near = at[last[first]] - at[first] <= reach
+        first, reach = first[near], reach[near]
+        item, a, e = item[first], at[last[first]] - reach, at[first]
+        new = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (a[1:] > e[:-1] + 1)][: len(item)])
+        yield from zip(item[new].tolist(), a[new].tolist(), e[np.r_[new[1:], len(item)][: len(new)] - 1].tolist())
 
 
 def match_masks(pattern: np.ndarray) -> dict[int, int]:
@@ -187,20 +164,20 @@ def _find(items: list[tuple[int, np.ndarray]], max_edits: float):
         def settle(n):
             """Candidates of the held regions of a bucket, verified."""
             b, regions = buckets[n], pending[n]
-            cp = np.concatenate([*[r[1] for r in regions], np.zeros(b.steps, np.uint32)])
-            base = np.cumsum([0] + [len(r[1]) for r in regions[:-1]])
-            counts = np.array([len(range(0, r[2], STRIDE)) for r in regions])
-            which = np.repeat(np.arange(len(regions)), counts)
-            starts = base[which] + (np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)) * STRIDE
-            w, i = b.candidates(embed(cp, starts, b.bits, b.sampled))
-            for key in np.unique(which[w] * np.int64(len(b.items)) + i).tolist():
-                r, i = regions[key // len(b.items)], key % len(b.items)
-                # the item's own q-grams, before the item's own edits
-                if np.isin(q_grams(r[1], b.q), b.grams[i]).sum() < b.least[i]:
-                    continue
-                d, end = best_match(b.masks[i], len(b.items[i][1]), r[1].tolist())
+            sizes = np.array([len(r[1]) for r in regions])
+            # regions lie so far apart that no window holds q-grams of two
+            base = np.cumsum(sizes + b.width) - sizes - b.width
+            cp = np.zeros(base[-1] + sizes[-1] + b.width, np.uint32)
+            for r, start in zip(regions, base.tolist()):
+                cp[start : start + len(r[1])] = r[1]
+            grams = q_grams(cp, b.q)
+            at = np.flatnonzero(tables[b.q][grams] & np.uint32(1 << n))
+            for i, first, last in b.candidates(grams[at], at, 0, len(b.items)):
+                k = int(np.searchsorted(base, last, "right")) - 1
+                r, first, last = regions[k], max(0, first - int(base[k])), last - int(base[k])
+                d, end = best_match(b.masks[i], len(b.items[i][1]), r[1][first : last + int(b.wide[i])].tolist())
                 if d <= b.edits[i]:
-                    rows.append((r[0], b.items[i][0], d, len(b.items[i][1]), r[3] + end))
+                    rows.append((r[0], b.items[i][0], d, len(b.items[i][1]), r[3] + first + end))
             pending[n], held[n] = [], 0
 
         def answer():
@@ -226,7 +203,7 @@ def _find(items: list[tuple[int, np.ndarray]], max_edits: float):
                             if a < min(e, stop):
                                 to = min(e, stop)
                                 pending[n].append((ids[d], cp[a : min(to + b.width, stop)], to - a, a - int(offs[d])))
-                                held[n] += (to - a) // STRIDE + 1
+                                held[n] += len(pending[n][-1][1])
                             a, d = stop + 1, d + 1
                     if held[n] > PENDING:
                         settle(n)
@@ -250,7 +227,7 @@ def regions_of(at: np.ndarray, b: Bucket) -> list[tuple[int, int]]:
     if not len(near):
         return []
     a, e = np.maximum(last[near] - reach, 0), first[near] + 1
-    cut = np.flatnonzero(a[1:] > e[:-1] + STRIDE)
+    cut = np.flatnonzero(a[1:] > e[:-1])
     return list(zip(a[np.r_[0, cut + 1]].tolist(), e[np.r_[cut, len(a) - 1]].tolist()))
 
 

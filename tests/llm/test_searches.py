@@ -101,6 +101,29 @@ def test_decontamination(spark):
     assert all((i, j) in {(k, w) for k, w in want.items()} or want.get(i) == 0 or i >= 500 for i, j in found)
 
 
+def test_decontamination_at_full_edits(spark):
+    """Every copy with floor(L / 10) edits is found, at any length, with the distance and end of a search of the whole text."""
+    rng = np.random.default_rng(8)
+    vocab = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(vocab, n))[:n].strip()
+    items = [say(n) for n in (100, 300, 1000, 2500, 5000) for _ in range(2)]
+    rows = []
+    for j in range(len(items)):
+        for _ in range(6):
+            x = list(items[j])
+            for _ in range(len(x) // 10):
+                p, how = int(rng.integers(len(x))), rng.integers(3)
+                x[p : p + (how != 1)] = [] if how == 2 else [chr(97 + int(rng.integers(26)))]
+            rows.append((len(rows), " ".join(f"{say(400)} {''.join(x)} {say(400)}".split())))
+    got = decontamination.find_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    codes = [[ord(c) for c in x] for x in items]
+    masks = [decontamination.match_masks(np.array(x)) for x in codes]
+    want = {(k, j, *decontamination.best_match(masks[j], len(codes[j]), [ord(c) for c in t])) for k, t in rows for j in range(len(items))}
+    want = {w for w in want if w[2] <= len(items[w[1]]) // 10}
+    assert {(k, k // 6) for k, _ in rows} == {w[:2] for w in want}
+    assert {(r.doc_id, r.item_id, r.distance, r.end) for r in got} == want
+
+
 def test_best_match():
     def plain(p, t):
         row = [0] * (len(t) + 1)
