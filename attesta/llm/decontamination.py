@@ -11,7 +11,8 @@ are compared by code point with A-Z lower-cased and white space runs as one spac
 
 Items are sent to workers in blocks of at most ITEMS items and ITEM_CHARS characters, one pass over the documents for each block, so what is
 sent has a fixed bound. Nothing is shuffled but the matches. Defined cases: null or empty texts match nothing; items of
-fewer than min_chars characters after normalising are not looked for; repeated rows give one row of their id; items
+fewer than min_chars characters after normalising are not looked for (by default none but empty ones: under 10 characters
+k is 0, and any verbatim passage counts); repeated rows give one row of their id; items
 with equal text each match; a null id is kept; other columns are ignored.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from attesta.llm.shared import Scratch
 from attesta.llm.textarrays import U64, keys64, slices
 
-MAX_EDITS, MIN_CHARS = 0.1, 20
+MAX_EDITS, MIN_CHARS = 0.1, 1
 Q, TABLE_BITS = 8, 23
 ITEMS, ITEM_CHARS = 4096, 4_000_000
 SLICE, PENDING, PAIRS = 2 << 20, 100_000, 4_000_000
@@ -246,7 +247,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDI
     # item by item, so that the driver never holds more than a block
     for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("t is not null").toLocalIterator():
         cp, _ = code_points([r["t"].strip(" \t\n\v\f\r")])
-        if len(cp) - 1 >= min_chars:
+        if len(cp) - 1 >= max(1, min_chars):
             block.append((r["i"], cp[:-1]))
         if len(block) >= ITEMS or sum(len(x) for _, x in block[-64:]) > ITEM_CHARS // 64 and sum(len(x) for _, x in block) > ITEM_CHARS:
             look(block)

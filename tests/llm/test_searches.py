@@ -124,6 +124,15 @@ def test_decontamination_at_full_edits(spark):
     assert {(r.doc_id, r.item_id, r.distance, r.end) for r in got} == want
 
 
+def test_decontamination_of_short_items(spark):
+    items = ["水の沸点は摂氏何度ですか？", "日本の首都はどこ？", "2 + 2 = ?", "Ω", " \n"]
+    rows = [(0, f"問題。{items[0]}答え。"), (1, f"問題。{items[0].replace('沸', '融')}答え。"), (2, f"x{items[1]}y"), (3, "x日本の首都はどれ？y"), (4, "so 2  +\n2 = ?"), (5, "2 + 3 = ?"), (6, "an Ω and an Ω"), (7, "nothing at all")]
+    got = decontamination.find_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in got} == {(0, 0, 0), (1, 0, 1), (2, 1, 0), (4, 2, 0), (6, 3, 0)}
+    got = decontamination.find_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), min_chars=13).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (1, 0)}
+
+
 def test_best_match():
     def plain(p, t):
         row = [0] * (len(t) + 1)
