@@ -7,6 +7,7 @@ and tokenizers are beyond SQL, so tests/llm compares run() with a brute-force ve
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from attesta.llm.decontamination import find_items
 from attesta.llm.language_id import keep_identified, learn
@@ -29,9 +30,11 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, not even with a tenth of its characters edited."""
-    found = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold no benchmark item, not even with a tenth of its characters edited; each row by its own text, with an id or without."""
+    row = F.xxhash64("doc_id", "text")
+    keyed = docs.select(row.alias("row"), "text")
+    found = find_items(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row").select(F.col("doc_id").alias("found_row")).distinct()
+    return docs.join(found, row == F.col("found_row"), "left_anti").select(docs.columns)
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,3 +173,12 @@ def test_pipeline_on_awkward_rows(spark, sf_dir, documents):
     assert kept.where("doc_id in (100, 200)").count() == 0 and kept.where("doc_id = 0").count() == 1
     assert hashlib.sha256(b"").hexdigest()  # the rows of the last stage are digests of files
     assert corpus_pipeline.write_tokens(spark, kept, sf_dir).count() == kept.count()
+
+
+def test_contaminated_rows_without_id(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    rows = [(None, f"a {item} b"), (None, "clean, no id"), (7, f"c {item}"), (7, "clean, same id"), (8, "clean"), (None, None), (9, None)]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_contaminated(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(r for r in rows if not (r[1] and item in r[1]))
