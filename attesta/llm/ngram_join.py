@@ -80,7 +80,7 @@ def _info(size: int):
         for b in slices(batches, "text", SLICE):
             sets = shingle_sets(b.column("text"), size)
             prints = np.array([fingerprint(s) for s in sets], U64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1])], names=["doc_id", "n", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1])], names=["doc_id", "row", "n", "lo", "hi"])
 
     return run
 
@@ -256,14 +256,17 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 def _verify(size: int, percent: int):
     @lean
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("comp", "ascending"), ("doc_id", "ascending")])
+        table = table.sort_by([("comp", "ascending"), ("lo", "ascending")])
         comp = table.column("comp").to_numpy()
-        ids = table.column("doc_id").to_numpy()
+        ids = table.column("lo").to_numpy()
         sets = shingle_sets(table.column("text"), size)
+        own = np.array([fingerprint(s)[0] for s in sets], U64).view(np.int64) == ids
         cuts = [0, *(np.flatnonzero(np.diff(comp)) + 1).tolist(), len(comp)]
         u, v = [], []
         for a, b in zip(cuts, cuts[1:]):
-            some = [i for i in range(a, b) if len(sets[i])]
+            # the rows of an id may have other texts, or one text twice
+            some = [i for i in range(a, b) if own[i] and len(sets[i])]
+            some = [i for n, i in enumerate(some) if not n or ids[i] != ids[some[n - 1]]]
             if len(some) > 1:
                 for x, y in linked([sets[i] for i in some], percent):
                     u.append(ids[some[x]])
@@ -273,17 +276,13 @@ def _verify(size: int, percent: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links, itself included), for each row.
-
-    size: words in a shingle. percent: least Jaccard similarity. chunk: size of a candidate set that one task
-    verifies at once; larger sets are cut into chunks and every pair of chunks is verified.
-    """
+def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, row (hash of the text), n, link_id (one for each set of linked texts; null without words or id), component_id, for each row."""
     spark = docs.sparkSession
     parts = parts_of(spark) * 3
     scratch = Scratch(spark, "jaccard")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    info = scratch.table(base.mapInArrow(_info(size), "doc_id long, n long, lo long, hi long"), "info")
+    info = scratch.table(base.withColumn("row", F.xxhash64("text")).mapInArrow(_info(size), "doc_id long, row long, n long, lo long, hi long"), "info")
     live = info.where("n > 0 and doc_id is not null")
     classes = scratch.table(live.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep")), "classes")
     posted = base.where("doc_id is not null").select("text").mapInArrow(_postings(size, percent, parts), X.BLOB)
@@ -293,20 +292,33 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comps = scratch.table(components(chains, scratch, "cand"), "candidates")
     members = kinds.where("kind = 0").select("body").mapInArrow(_members, "lo long, grp long, n long")
     members = members.join(comps.select(F.col("node").alias("grp"), "component"), "grp", "left").select("lo", "n", F.coalesce("component", "grp").alias("comp"))
-    reps = scratch.table(members.join(classes.select("lo", "n", "rep"), ["lo", "n"]).select("comp", "rep", "n"), "reps")
+    reps = scratch.table(members.join(classes.select("lo", "n", "rep"), ["lo", "n"]).select("comp", "rep", "lo", "n"), "reps")
     sizes = reps.groupBy("comp").agg(F.count("*").alias("m"), F.greatest(F.lit(1), F.ceil(F.sum(F.col("n") + 32) / chunk)).cast("int").alias("k")).where("m > 1")
-    cut = reps.join(sizes, "comp").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    cut = reps.join(sizes, "comp").withColumn("c", F.pmod(F.xxhash64("lo"), F.col("k")).cast("int"))
     cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "comp", "rep",
+        "comp", "rep", "lo",
         F.when(F.col("k") == 1, F.pmod(F.xxhash64("comp"), F.lit(parts))).otherwise(F.col("comp")).alias("bin"),
         F.when(F.col("k") == 1, -1).otherwise(F.least("c", "o")).alias("i"),
         F.when(F.col("k") == 1, -1).otherwise(F.greatest("c", "o")).alias("j"),
     )
-    links = base.join(cut.hint("merge"), F.col("doc_id") == F.col("rep")).select("comp", "doc_id", "text", "bin", "i", "j").groupBy("bin", "i", "j").applyInArrow(_verify(size, percent), "u long, v long")
+    links = base.join(cut.hint("merge"), F.col("doc_id") == F.col("rep")).select("comp", "lo", "text", "bin", "i", "j").groupBy("bin", "i", "j").applyInArrow(_verify(size, percent), "u long, v long")
     found = scratch.table(components(links, scratch, "link"), "components")
-    of = classes.join(found, F.col("rep") == F.col("node"), "left").select("lo", "hi", "n", F.coalesce("component", "rep").alias("component_id"))
+    # links are between texts; the smallest id of linked texts is looked up at the end
+    least = found.join(classes, F.col("node") == F.col("lo")).groupBy("component").agg(F.min("rep").alias("component_id"))
+    found = found.join(least, "component")
+    of = classes.join(found, F.col("lo") == F.col("node"), "left").select("lo", "hi", "n", F.coalesce("component", "lo").alias("link_id"), F.coalesce("component_id", "rep").alias("component_id"))
     keyed = info.join(of, ["lo", "hi", "n"], "left")
-    return keyed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    known = F.col("doc_id").isNotNull()
+    return keyed.select("doc_id", "row", "n", F.when(known, F.col("link_id")).alias("link_id"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links, itself included), for each row.
+
+    size: words in a shingle. percent: least Jaccard similarity. chunk: size of a candidate set that one task
+    verifies at once; larger sets are cut into chunks and every pair of chunks is verified.
+    """
+    return row_components(docs, id_col, text_col, size, percent, chunk).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

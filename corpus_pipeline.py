@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from attesta.llm.decontamination import find_items
 from attesta.llm.language_id import keep_identified, learn
 from attesta.llm.mixing import poisson_mix
-from attesta.llm.ngram_join import ngram_jaccard_join
+from attesta.llm.ngram_join import row_components
 from attesta.llm.shared import Scratch
 from attesta.llm.token_files import encode_documents, production_tokenizer
 
@@ -23,9 +23,12 @@ def identify_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; of repeated rows one. Rows without an id stay."""
-    first = ngram_jaccard_join(docs).where("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    """The document with the smallest id of each group of near-duplicates; of repeated rows one. Rows that share an id go by their own texts. Rows without an id stay."""
+    found = row_components(docs).where("component_id = doc_id")
+    alone = F.col("link_id").isNull()
+    # of linked texts under one id, one
+    first = found.groupBy("doc_id", "link_id", F.when(alone, F.col("row"))).agg(F.min("row").alias("first_row")).select(F.col("doc_id").alias("first_id"), "first_row")
+    kept = docs.join(first.hint("merge"), (docs["doc_id"] == F.col("first_id")) & (F.xxhash64(docs["text"]) == F.col("first_row")), "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 

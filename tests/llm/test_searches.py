@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from attesta.llm import chat, decontamination, embedding_dedup
 from attesta.llm.components import components, local_labels
+from attesta.llm.ngram_join import ngram_jaccard_join
 from attesta.llm.queries import ORACLE_SQL, QUERIES
 from attesta.llm.shared import Scratch
 
@@ -182,3 +183,18 @@ def test_contaminated_rows_without_id(spark, sf_dir):
     got = corpus_pipeline.drop_contaminated(spark, docs, sf_dir)
     assert got.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(r for r in rows if not (r[1] and item in r[1]))
+
+
+def test_near_duplicates_with_shared_ids(spark, sf_dir):
+    rng = np.random.default_rng(6)
+    say = lambda: [f"w{k}" for k in rng.integers(0, 10**6, 60)]
+    a, b, c, d = say(), say(), say(), say()
+    near = lambda x: " ".join([*x[:-1], "other"])
+    rows = [(3, near(a)), (7, " ".join(a)), (7, " ".join(b)), (9, " ".join(c)), (9, near(c)), (9, " ".join(c).upper()), (9, " ".join(d)), (12, near(d)), (13, ""), (13, None), (13, None)]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs).collect()]
+    assert sorted(got) == sorted([(3, 56, 3), (7, 56, 3), (7, 56, 7), *[(9, 56, 9)] * 4, (12, 56, 9), *[(13, 0, 13)] * 3])
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect())
+    linked = {" ".join(c), near(c), " ".join(c).upper()}
+    assert sum(n for (i, t), n in kept.items() if t in linked) == 1
+    assert Counter({k: n for k, n in kept.items() if k[1] not in linked}) == Counter([(3, near(a)), (7, " ".join(b)), (9, " ".join(d)), (13, ""), (13, None)])
