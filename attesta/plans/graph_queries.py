@@ -105,7 +105,7 @@ SELECT conv_id, turn, md5(CASE WHEN conv_id % 5 = 0 THEN text ELSE regexp_replac
 
 
 def number_sets(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.array_join(F.transform(T.numbers(F.col("text")), lambda x: x.cast("string")), ",").alias("numbers"))
+    return read(spark, d, "documents").select("doc_id", F.array_join(T.numbers(F.col("text")), ",").alias("numbers"))
 
 
 def labels(spark, d):

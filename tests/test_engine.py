@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import answer, linking, render
+from attesta.functions import text
+from attesta.operators import answer, linking, render, verify
 from attesta.plans.store import Engine
 
 
@@ -128,3 +129,13 @@ def test_tools(spark, sf_dir):
     assert t.call("participants", {"event": "o:3"})["participants"]
     assert t.call("search", {"query": "license version"})["passages"][0]["ref"].startswith("S")
     assert "no tool" in t.call("dance", {})["error"] and "has no" in t.call("find", {"x": 1})["error"] and "error" in t.call("read", {"document": "d"})
+
+
+def test_long_numbers(spark):
+    rows = [("a", "007 then 9223372036854775808, 12 and 1234567890123456789012, 0", None), ("b", "no number", None), ("c", None, None)]
+    got = dict(spark.createDataFrame(rows, "k string, t string, n string").select("k", text.numbers(F.col("t"))).collect())
+    assert got == {"a": ["0", "7", "12", "9223372036854775808", "1234567890123456789012"], "b": [], "c": None}
+    ledger = spark.createDataFrame([("R", "text", "the total came to 0012 and 12345678901234567890 units")], "ref string, kind string, entry_text string")
+    parts = [(k, t, [("R", "the total came to 0012 and 12345678901234567890 units")]) for k, t in [("good", "It was 12 and 12345678901234567890."), ("bad", "It was 12345678901234567891 and 3.")]]
+    checked = verify.check_parts(spark.createDataFrame(parts, "part_id string, text string, citations array<struct<ref: string, quote: string>>"), ledger)
+    assert {r.part_id: r.problems for r in checked.collect()} == {"good": [], "bad": ["numbers not in the evidence: 3, 12345678901234567891"]}
