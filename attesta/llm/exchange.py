@@ -11,8 +11,9 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from attesta.llm.textarrays import lean
+from attesta.llm.textarrays import release
 
 BLOB = "part int, body binary"
 _BLOB = pa.schema([("part", pa.int32()), ("body", pa.binary())])
@@ -48,13 +49,20 @@ def blobs(part: np.ndarray, columns: Sequence[np.ndarray]) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array(part[np.array(at[:-1])], pa.int32()), pa.array([pack([c[a:b] for c in columns]) for a, b in zip(at, at[1:])], pa.binary())], schema=_BLOB)
 
 
-def reduce(df: DataFrame, dtypes: Sequence, fn: Callable[[int, list[np.ndarray]], pa.Table], schema) -> DataFrame:
+def deal(df: DataFrame, parts: int) -> DataFrame:
+    """Part k in partition k: the part number itself deals the rows, it is not hashed again, so no two parts share a task."""
+    return df.repartitionById(parts, F.col("part"))
+
+
+def reduce(df: DataFrame, parts: int, dtypes: Sequence, fn: Callable[[int, list[np.ndarray]], pa.Table], schema) -> DataFrame:
     """fn(part, columns) of each part; fn returns a table of ``schema``."""
 
-    @lean
-    def run(table: pa.Table) -> pa.Table:
-        got = [unpack(memoryview(b.as_buffer()), dtypes) for b in table.column("body").combine_chunks()] if table.num_rows else []
-        part = table.column("part")[0].as_py()
-        return fn(part, [np.concatenate(c) for c in zip(*got)])
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            part = batches[0].column("part")[0].as_py()
+            got = [unpack(memoryview(x.as_buffer()), dtypes) for b in batches for x in b.column("body")]
+            yield from fn(part, [np.concatenate(c) for c in zip(*got)]).to_batches(max_chunksize=10_000)
+        release()
 
-    return df.groupBy("part").applyInArrow(run, schema)
+    return deal(df, parts).mapInArrow(run, schema)

@@ -286,9 +286,9 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     live = info.where("n > 0 and doc_id is not null")
     classes = scratch.table(live.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep")), "classes")
     posted = base.where("doc_id is not null").select("text").mapInArrow(_postings(size, percent, parts), X.BLOB)
-    shared = X.reduce(posted, (U64, U64), _frequencies(parts), X.BLOB)
-    kinds = scratch.table(X.reduce(shared.union(classes.select("lo", "n").mapInArrow(_class_blobs(parts), X.BLOB)), (U64, U64, np.uint32), _groups(percent, parts), "kind int, part int, body binary"), "groups")
-    chains = X.reduce(kinds.where("kind = 1").select("part", "body"), (U64, U64, np.uint32), _chains(percent), "u long, v long")
+    shared = X.reduce(posted, parts, (U64, U64), _frequencies(parts), X.BLOB)
+    kinds = scratch.table(X.reduce(shared.union(classes.select("lo", "n").mapInArrow(_class_blobs(parts), X.BLOB)), parts, (U64, U64, np.uint32), _groups(percent, parts), "kind int, part int, body binary"), "groups")
+    chains = X.reduce(kinds.where("kind = 1").select("part", "body"), parts, (U64, U64, np.uint32), _chains(percent), "u long, v long")
     comps = scratch.table(components(chains, scratch, "cand"), "candidates")
     members = kinds.where("kind = 0").select("body").mapInArrow(_members, "lo long, grp long, n long")
     members = members.join(comps.select(F.col("node").alias("grp"), "component"), "grp", "left").select("lo", "n", F.coalesce("component", "grp").alias("comp"))

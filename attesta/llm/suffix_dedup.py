@@ -370,11 +370,11 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id",
     base = base.withColumn("doc", F.coalesce(F.col("id").cast("long"), F.lit(-(2**63) + 1))).withColumn("check", F.xxhash64("id", "text").bitwiseAND(F.lit(2**32 - 1)))
     first = base.select("doc", "check", "text").mapInArrow(_first_digit(depth, parts), _DDL).groupBy("part").applyInArrow(_split(parts, hot), _DDL)
     first = scratch.table(first, "first")
-    asked = X.reduce(first.where(F.col("kind") == ASK).select("part", "body"), _ASK, _per_document(_ASK), "doc long, check long, rows binary")
+    asked = X.reduce(first.where(F.col("kind") == ASK).select("part", "body"), parts, _ASK, _per_document(_ASK), "doc long, check long, rows binary")
     fetched = base.select("doc", "check", "text").join(asked.hint("merge"), ["doc", "check"]).mapInArrow(_fetch(depth, parts), _DDL)
     last = scratch.table(fetched.groupBy("part").applyInArrow(_last_digits(depth, parts), _DDL), "last")
-    told = first.union(last).where(F.col("kind") == REPEATED).select("part", "body")
-    told = X.reduce(told, _REPEATED, _per_document(_REPEATED), "doc long, check long, rows binary")
+    told = first.union(last).where(F.col("kind") == REPEATED).select((F.col("part") - parts).cast("int").alias("part"), "body")
+    told = X.reduce(told, parts, _REPEATED, _per_document(_REPEATED), "doc long, check long, rows binary")
     kind = dict(base.dtypes)["id"]
     out = base.join(told.hint("merge"), ["doc", "check"], "left").mapInArrow(_remove(depth), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)

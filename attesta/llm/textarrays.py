@@ -52,6 +52,8 @@ def lean(fn):
             release()
 
     return run
+
+
 _M1, _M2, _G = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
 
 
@@ -79,14 +81,19 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE[SPACE] = 0
 _EXACT = keys64(256, 13)
-_PLACE = keys64(4096, 12)
+#: An odd multiplier and its inverse modulo 2**64: a word's hash is a difference of running sums, moved to place 0.
+_K = 0x9E6C63D0676A9A9B
+_K_INVERSE = pow(_K, -1, 1 << 64)
+_BLOCK = 1 << 16
+_POWERS: list[np.ndarray] = []
 
 
-def _places(n: int) -> np.ndarray:
-    global _PLACE
-    if n > len(_PLACE):
-        _PLACE = keys64(max(n, 2 * len(_PLACE)), 12)
-    return _PLACE
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers, at least, of the multiplier and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, _BLOCK + 4096)
+        _POWERS[:] = [np.cumprod(np.r_[U64(1), np.full(size - 1, k, U64)], dtype=U64) for k in (_K, _K_INVERSE)]
+    return _POWERS
 
 
 def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,31 +130,47 @@ def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         z = np.zeros(0, np.int64)
         return z, z, z
     inside = ~SPACE[raw]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[offs] = True
-    before = np.empty(len(raw), bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | edge[:-1]))
-    after = np.empty(len(raw), bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    rows = np.searchsorted(offs, starts, "right") - 1
-    return starts, ends, rows
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    full = offs[1:] > offs[:-1]
+    a, e = offs[:-1][full], offs[1:][full] - 1
+    first[a], last[e] = inside[a], inside[e]
+    starts = np.flatnonzero(first)
+    rows = np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(starts, offs)))
+    return starts, np.flatnonzero(last) + 1, rows
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, exact: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lower-cased, or of its exact bytes."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    lens = ends - starts
-    total = int(lens.sum())
-    first = np.cumsum(lens) - lens
-    place = np.arange(total, dtype=np.int64) - np.repeat(first, lens)
-    value = (_EXACT if exact else _BYTE)[raw[np.repeat(starts - first, lens) + np.arange(total, dtype=np.int64)]]
-    value *= _places(int(lens.max()) + 1)[place]
-    return mix64(np.add.reduceat(value, first) + lens.astype(U64) * _G)
+    """A 64-bit hash of each word with A-Z lower-cased, or of its exact bytes. Words are in text order."""
+    table, out, at = _EXACT if exact else _BYTE, np.empty(len(starts), U64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _BLOCK, "right")))
+        base = starts[at]
+        s, e = starts[at:to] - base, ends[at:to] - base
+        power, inverse = _powers(int(e[-1]) + 1)
+        sums = np.zeros(int(e[-1]) + 1, U64)
+        np.cumsum(table[raw[base : base + e[-1]]] * power[: e[-1]], out=sums[1:])
+        out[at:to] = (sums[e] - sums[s]) * inverse[s]
+        at = to
+    return mix64(out + (ends - starts).astype(U64) * _G)
+
+
+def order_of(key: np.ndarray) -> np.ndarray:
+    """The stable order of 64-bit hashes. Leading bits are sorted together with the index in one word; ties of these are put right."""
+    n = len(key)
+    bits = U64(max(1, (n - 1).bit_length()) if n else 1)
+    packed = (key >> bits << bits) | np.arange(n, dtype=U64)
+    packed.sort()
+    order = (packed & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    sorted_key = key[order]
+    wrong = np.flatnonzero(sorted_key[1:] < sorted_key[:-1])
+    if len(wrong):
+        lead = packed >> bits
+        for v in np.unique(lead[wrong]):
+            a, e = np.searchsorted(lead, v), np.searchsorted(lead, v, "right")
+            order[a:e] = order[a:e][np.argsort(sorted_key[a:e], kind="stable")]
+    return order
 
 
 def grams(h: np.ndarray, rows: np.ndarray, n: int, seed: int = 21) -> tuple[np.ndarray, np.ndarray]:
