@@ -27,12 +27,13 @@ def local_labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return label
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(node, component) for every node of ``edges(u long, v long)``; component is the smallest reachable node.
 
-    Alternates large-star and small-star steps until the edge set no longer changes. Each step keeps at most one
-    row for each edge, tables are written to the shared folder, and skewed hubs meet only in a partial minimum
-    and a join that AQE may split.
+    Alternates large-star and small-star steps until the edge set no longer changes, which it does after a number of rounds
+    that grows with the logarithm of the longest path. Each step keeps at most one row for each edge. The minimum of a node's neighbours
+    is a table before it is joined, so the rows of a hub meet in a partial minimum and in a join of two plain exchanges, which
+    adaptive execution splits.
     """
     spark = edges.sparkSession
     cur = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
@@ -41,18 +42,20 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
     def digest(df):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    seen = digest(cur)
+    seen, k = digest(cur), 0
     if not seen[0]:
         return spark.createDataFrame([], "node long, component long")
-    for k in range(1, rounds + 1):
+    while True:
+        k += 1
         both = cur.union(cur.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}{k}low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = scratch.table(large, f"{name}{k}large")
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", "m")).where("u <> v").distinct()
         nxt = scratch.table(small, f"{name}{k}")
         got = digest(nxt)
-        scratch.drop(f"{name}{k - 1}")
+        scratch.drop(f"{name}{k - 1}", f"{name}{k}low", f"{name}{k}large")
         cur = nxt
         if got == seen:
             break

@@ -13,7 +13,8 @@ when vectors have no structure; it is quadratic there, like any exact method.
 
 Defined cases: vectors that are null, empty, zero, or hold null, infinite or NaN components, and rows with a null id, link
 with nothing (their component is themselves); vectors of different lengths do not link; every row is a
-vector, so repeated rows link with each other; other columns are ignored.
+vector, so repeated rows link with each other, and rows that share an id each link by their own vector (the smallest id
+reachable may then be that of another row); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -153,7 +154,9 @@ def embedding_near_dedup(vectors: DataFrame, cosine: float = 0.9, id_col: str =
     huge = F.lit(float("inf"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < huge)) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("ok", F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False)))
-    classes = scratch.table(rows.where("ok").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "classes")
+    # a class is a distinct vector under a hash of its components; ids come in at the end, as rows may share one
+    classes = rows.where("ok").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"))
+    classes = scratch.table(classes.withColumn("rep", F.xxhash64("embedding")), "classes")
     kind = dict(classes.dtypes)["embedding"]
     slabs = classes.select("rep", "m", "embedding").mapInArrow(_slabs(cosine), f"rep long, m long, embedding {kind}, dims long, slabs array<long>")
     cells = scratch.table(slabs.select("rep", "m", "embedding", "dims", F.posexplode("slabs").alias("block", "slab")), "cells")
@@ -174,8 +177,10 @@ def embedding_near_dedup(vectors: DataFrame, cosine: float = 0.9, id_col: str =
     found = scratch.table(units.groupBy("dims", "block", "slab", "guest", "i", "j").applyInArrow(_join(cosine), "kind int, u long, v long"), "found")
     links = found.where("kind = 0").groupBy(F.col("u").alias("rep")).agg(F.sum("v").alias("links"))
     comp = scratch.table(components(found.where("kind = 1").select("u", "v"), scratch), "components")
+    lowest = comp.join(classes, F.col("node") == F.col("rep")).groupBy("component").agg(F.min("least").alias("lowest"))
+    comp = comp.join(lowest, "component").select("node", "lowest")
     of = classes.join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
-    of = of.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    of = of.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("lowest", "least").alias("component_id"))
     good = rows.where("ok").select("vec_id", "embedding").join(of, "embedding").select("vec_id", "n_links", "component_id")
     bad = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.union(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -7,10 +7,12 @@ Two documents link when 100 * |A n B| >= percent * |A u B|. Steps, each over all
    them, not just one, so a shared passage alone does not make a candidate.
 3. Each posted shingle's document frequency goes back to its classes. A class with too few shared shingles is
    out; another keeps its rarest ones, as many as the prefix principle needs for one common shingle.
-4. Classes with identical kept prefixes and size collapse into one group. Groups that hold a common shingle and
-   fit in size are chained (never all pairs), and connected chains are the candidate sets.
-5. The texts of each candidate set meet in one task, or chunk by chunk if the set is large, and links are
-   verified exactly on whole sets. Pairs that already are connected need no test.
+4. Classes with identical kept prefixes and size collapse into one group. Pairs of groups that hold a common shingle are filtered by
+   size and by place: as many shared shingles as a link asks for must be left in both, from this one on. Of a shingle of more than PAIRED groups
+   neighbours in size are paired alone, which connects all that fit, so no list gives a square of pairs.
+5. Pairs are expanded to the members of their groups. Pairs that are connected travel together, so a text is sent once and not
+   with each partner; they meet in one task, or chunk by chunk, and links are verified exactly on whole sets. What is
+   already connected by verified links needs no test.
 
 Defined cases: a text of 1 to 4 words is one shingle of all its words; a text that is null, empty or without
 words has size 0 and links with nothing; repeated rows keep one row each; of rows that share an id each has the
@@ -32,6 +34,8 @@ from attesta.llm.textarrays import U64, grams, keys64, lean, mix64, row_runs, sl
 SLICE = 1 << 20
 #: Shingles, and for each set 32 more, that one task verifies at once.
 CHUNK = 500_000
+#: Groups of a shingle of which every pair is looked at; of more, neighbours in size.
+PAIRED = 32
 
 
 def shingle_sets(texts, size: int) -> list[np.ndarray]:
@@ -148,7 +152,7 @@ _KINDS = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("body", pa.bina
 
 
 def _groups(percent: int, parts: int):
-    """Kind 0: class, group, size. Kind 1: kept shingle, group, size."""
+    """Kind 0: class, group, size. Kind 1: kept shingle, group, size, shared shingles from this one on."""
 
     def run(part, cols):
         cls, token, df = cols
@@ -168,7 +172,7 @@ def _groups(percent: int, parts: int):
             kept = np.maximum(shared - need + 1, 0)
             rank = np.arange(len(cls)) - np.repeat(first, shared)
             keep = rank < np.repeat(kept, shared)
-            token, live = token[keep], kept > 0
+            token, left, live = token[keep], (np.repeat(shared, shared) - rank)[keep], kept > 0
             own, n, kept = own[live], n[live], kept[live]
             if len(own):
                 starts = np.cumsum(kept) - kept
@@ -179,7 +183,7 @@ def _groups(percent: int, parts: int):
                 mine[one] = True
                 pick = np.repeat(mine, kept)
                 t = token[pick]
-                out += [(1, b) for b in X.blobs(X.part_of(mix64(t), parts), [t, np.repeat(group[mine], kept[mine]), np.repeat(n[mine], kept[mine]).astype(np.uint32)])]
+                out += [(1, b) for b in X.blobs(X.part_of(mix64(t), parts), [t, np.repeat(group[mine], kept[mine]), np.repeat(n[mine], kept[mine]).astype(np.uint32), left[pick].astype(np.uint32)])]
         return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, k, np.int32)), b.column(0), b.column(1)], schema=_KINDS) for k, b in out], schema=_KINDS)
 
     return run
@@ -188,16 +192,29 @@ def _groups(percent: int, parts: int):
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _chains(percent: int):
-    """A forest over the groups that share a kept shingle and fit in size."""
+def _pairs(percent: int):
+    """A forest of the pairs of groups that share a kept shingle and pass the filters."""
 
     def run(part, cols):
-        token, group, n = cols
+        token, group, n, left = cols
         order = np.lexsort((group, n, token))
-        token, group, n = token[order], group[order], n[order].astype(np.int64)
+        token, group, n, left = token[order], group[order], n[order].astype(np.int64), left[order].astype(np.int64)
         own, index = np.unique(group, return_inverse=True)
-        next_to = (token[1:] == token[:-1]) & (index[1:] != index[:-1]) & (100 * n[:-1] >= percent * n[1:])
-        label = local_labels(len(own), index[:-1][next_to], index[1:][next_to])
+        need = _extra(_least(n, percent), percent)
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)])
+        length = np.diff(np.r_[first, len(token)])
+        size = np.repeat(length, length)
+        label = np.arange(len(own))
+        for d in range(1, int(min(PAIRED, length.max(initial=0)))):
+            i = np.flatnonzero((token[:-d] == token[d:]) & ((size[:-d] <= PAIRED) | (d == 1)))
+            j = i + d
+            fits = 100 * n[i] >= percent * n[j]
+            # neighbours of a long list stand for pairs that are not looked at
+            placed = (np.minimum(left[i], left[j]) >= np.maximum(need[i], need[j])) | (size[i] > PAIRED)
+            i, j = i[fits & placed], j[fits & placed]
+            u, v = label[index[i]], label[index[j]]
+            if (u != v).any():
+                label = local_labels(len(own), u, v)[label]
         moved = np.flatnonzero(label != np.arange(len(own)))
         return pa.table([own[moved].view(np.int64), own[label[moved]].view(np.int64)], schema=_EDGE)
 
@@ -288,8 +305,8 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     posted = base.where("doc_id is not null").select("text").mapInArrow(_postings(size, percent, parts), X.BLOB)
     shared = X.reduce(posted, parts, (U64, U64), _frequencies(parts), X.BLOB)
     kinds = scratch.table(X.reduce(shared.union(classes.select("lo", "n").mapInArrow(_class_blobs(parts), X.BLOB)), parts, (U64, U64, np.uint32), _groups(percent, parts), "kind int, part int, body binary"), "groups")
-    chains = X.reduce(kinds.where("kind = 1").select("part", "body"), parts, (U64, U64, np.uint32), _chains(percent), "u long, v long")
-    comps = scratch.table(components(chains, scratch, "cand"), "candidates")
+    pairs = X.reduce(kinds.where("kind = 1").select("part", "body"), parts, (U64, U64, np.uint32, np.uint32), _pairs(percent), "u long, v long")
+    comps = scratch.table(components(pairs, scratch, "cand"), "candidates")
     members = kinds.where("kind = 0").select("body").mapInArrow(_members, "lo long, grp long, n long")
     members = members.join(comps.select(F.col("node").alias("grp"), "component"), "grp", "left").select("lo", "n", F.coalesce("component", "grp").alias("comp"))
     reps = scratch.table(members.join(classes.select("lo", "n", "rep"), ["lo", "n"]).select("comp", "rep", "lo", "n"), "reps")

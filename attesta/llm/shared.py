@@ -35,8 +35,10 @@ class Scratch:
     """One operator call's tables under the shared folder. A table lives until drop() or close()."""
 
     def __init__(self, spark: SparkSession, name: str):
+        # what the user set, when the session was made or since, stays
+        given = spark.conf.getAll
         for key, value in SETTINGS.items():
-            if not spark.sparkContext.getConf().contains(key):
+            if key not in given:
                 spark.conf.set(key, value)
         self.spark, self.path = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
