@@ -50,12 +50,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         both = cur.union(cur.select("v", "u")).toDF("u", "v")
         low = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}{k}low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch.table(large, f"{name}{k}large")
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", "m")).where("u <> v").distinct()
         nxt = scratch.table(small, f"{name}{k}")
         got = digest(nxt)
-        scratch.drop(f"{name}{k - 1}", f"{name}{k}low", f"{name}{k}large")
+        scratch.drop(f"{name}{k - 1}", f"{name}{k}low")
         cur = nxt
         if got == seen:
             break

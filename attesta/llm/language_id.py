@@ -4,7 +4,8 @@ First the family: multinomial naive Bayes over hashed n-grams. Then, within the
 machine for each pair of its languages; most votes win, the sum of margins breaks ties. All scores are sums over
 words, so a text costs one lookup for each distinct word of a slice, whatever its length.
 
-Learning takes at most ``max_rows`` texts, shared evenly among the languages, those of the smallest id hash.
+Learning takes at most ``max_rows`` texts of ``max_chars`` characters together, shared evenly among the languages and at most ``per_language``
+of each: those of the smallest hash of id and text (a text that would pass the share of characters is left out; equal rows count once).
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a null language teaches nothing; a
 language without a listed family is a family of its own; with nothing to learn from all texts are ``und``; a null id is not held
 out; repeated rows each get a row.
@@ -38,7 +39,7 @@ FAMILIES = {
     "semitic": "ar he am mt",
 }
 LENGTHS, BITS = (1, 2, 3, 4), 17
-MAX_ROWS, PER_LANGUAGE = 4_000, 500
+MAX_ROWS, PER_LANGUAGE, MAX_CHARS = 8_000, 1_000, 30_000_000
 EPOCHS, PENALTY = 60, 1e-4
 SLICE = 1 << 20
 
@@ -140,18 +141,27 @@ def _predict(model: dict):
     return run
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, remainder: int = 2, max_rows: int = MAX_ROWS) -> dict:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, remainder: int = 2, max_rows: int = MAX_ROWS, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS) -> dict:
     """The model of texts with a known language that are not held out."""
     base = docs.where(~held_out(id_col, modulus, remainder) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = {r["lang"]: r["n"] for r in base.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows).collect()}
-    each = min(PER_LANGUAGE, max(1, max_rows // max(1, len(n))))
+    each = min(per_language, max(1, max_rows // max(1, len(n))))
     # a share of a language's hashes that has a third more rows than wanted; then exactly as many
-    h = F.xxhash64(F.lit("language-id"), F.col(id_col))
+    h = F.xxhash64(F.lit("language-id"), F.col(id_col), F.col(text_col))
     below = {k: int(min(1.0, (1.33 * each + 30) / v) * (2**64 - 1)) - 2**63 for k, v in n.items()}
     pairs = [F.lit(x) for k, v in below.items() for x in (k, min(v, 2**63 - 1))]
     some = base.where(h <= F.create_map(*pairs)[F.col(lang_col).cast("string")]) if pairs else base.limit(0)
-    got = some.select(h.alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).toPandas().sort_values(["h", "text"])
-    got = got.groupby("lang", sort=True).head(each) if len(got) else got
+    some = some.select(h.alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    # hashes and lengths first; then the chosen texts, each once however often it occurs
+    sizes = some.groupBy("h", "lang").agg(F.max(F.char_length("text")).alias("n")).orderBy("h", "lang").limit(4 * max_rows).collect()
+    room, taken, chosen = dict.fromkeys(n, max_chars // max(1, len(n))), dict.fromkeys(n, 0), []
+    for r in sizes:
+        if taken[r["lang"]] < each and r["n"] <= room[r["lang"]]:
+            room[r["lang"]] -= r["n"]
+            taken[r["lang"]] += 1
+            chosen.append((r["h"], r["lang"]))
+    keys = docs.sparkSession.createDataFrame(chosen, "h long, lang string")
+    got = some.join(F.broadcast(keys), ["h", "lang"]).groupBy("h", "lang").agg(F.min("text").alias("text")).toPandas().sort_values(["h", "lang"])
     return fit(got["text"].tolist(), got["lang"].tolist())
 
 

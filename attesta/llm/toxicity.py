@@ -5,8 +5,9 @@ share of toxic and other texts; features of the largest ratios are kept, each ha
 regression with an L2 penalty learns the weights. Scoring passes whole texts slice by slice through one table of
 weights, whose size is bounded by 2**BITS.
 
-Learning takes at most ``max_rows`` labelled rows, those of the smallest id hash; labels, language, source and
-id are no features. Defined cases: a text that is null, empty or without words scores the intercept; a label
+Learning takes at most ``max_rows`` labelled documents, those of the smallest id hash, of ``max_chars`` characters together (a text that
+would pass this is left out), and keeps the ``features`` n-grams of the largest ratios; labels, language, source and
+id are no features. Of rows that share an id the least text counts. Defined cases: a text that is null, empty or without words scores the intercept; a label
 that is null or other than 0 and 1 teaches nothing; a repeated label row counts once; without both classes the
 score is the share of toxic rows (0 without any); a null id is not held out and teaches nothing.
 """
@@ -23,12 +24,15 @@ from attesta.llm.shared import Scratch
 from attesta.llm.textarrays import slices
 
 LENGTHS, BITS = (3, 4, 5), 20
-MAX_ROWS, KEPT, SMOOTH, PENALTY, STEPS = 12_000, 10_000, 0.5, 2e-3, 300
+MAX_ROWS, MAX_CHARS, FEATURES, SMOOTH, PENALTY, STEPS = 12_000, 60_000_000, 10_000, 0.5, 1e-3, 300
 SLICE = 1 << 20
 
 
-def fit(texts: list, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Features, their weights with the ratio multiplied in, intercept."""
+def fit(texts: list, labels: np.ndarray, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
+    """Features, their weights with the ratio multiplied in, intercept.
+
+    Minimises the mean logistic loss plus PENALTY / 2 times the squared weights (not the intercept) by Nesterov's method.
+    """
     y = labels.astype(np.float64)
     none = np.zeros(0, np.int64), np.zeros(0), float(np.log((y.sum() + 1e-9) / (len(y) - y.sum() + 1e-9))) if len(y) else -50.0
     if not len(y) or y.min() == y.max():
@@ -49,7 +53,7 @@ def fit(texts: list, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]
     r = np.where(count.sum(0) > 1, np.log(share[1] / share[0]), 0.0)
     # ratio times the root of the number of texts: far from chance, not only rare
     weight = np.abs(r) * np.sqrt(count.sum(0))
-    top = np.sort(np.argsort(-weight, kind="stable")[:KEPT])
+    top = np.sort(np.argsort(-weight, kind="stable")[:features])
     top = top[weight[top] > 0]
     if not len(top):
         return none
@@ -60,15 +64,19 @@ def fit(texts: list, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]
     got = [(row.astype(np.int32), place[f]) for row, f in rows(chosen)]
     row, col = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
     value = r[top][col]
-    size = np.maximum(np.bincount(row, weights=value**2, minlength=len(y)), 1.0)
-    # a step no longer than the curvature allows; Nesterov's momentum
-    rate = 1 / (0.25 * (np.quantile(size, 0.99) + 1) + PENALTY)
+    # the loss bends by a quarter of the mean squared length of the rows in the steepest direction, which power iteration finds
+    x = np.ones(len(top) + 1)
+    for _ in range(20):
+        x /= np.sqrt((x * x).sum())
+        along = np.bincount(row, weights=value * x[:-1][col], minlength=len(y)) + x[-1]
+        x = np.r_[np.bincount(col, weights=value * along[row], minlength=len(top)), along.sum()] / len(y)
+    rate = 1 / (0.25 * 1.1 * np.sqrt((x * x).sum()) + PENALTY)
     w = prev = np.zeros(len(top) + 1)
     for k in range(STEPS):
         z = w + k / (k + 3) * (w - prev)
         p = sigmoid(np.bincount(row, weights=value * z[:-1][col], minlength=len(y)) + z[-1])
-        g = np.r_[np.bincount(col, weights=value * (p - y)[row], minlength=len(top)), (p - y).sum()] / len(y) + PENALTY * np.r_[z[:-1], 0.0] * 0.05
-        prev, w = w, z - rate * g * 4
+        g = np.r_[np.bincount(col, weights=value * (p - y)[row], minlength=len(top)), (p - y).sum()] / len(y) + PENALTY * np.r_[z[:-1], 0.0]
+        prev, w = w, z - rate * g
     return top, w[:-1] * r[top], float(w[-1])
 
 
@@ -87,16 +95,26 @@ def _score(model, threshold: float):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 4, remainder: int = 2, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 4, remainder: int = 2, threshold: float = 0.3, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, features: int = FEATURES) -> DataFrame:
     """doc_id, held_out, score, predicted of each row; learns from labelled rows that are not held out."""
-    Scratch(docs.sparkSession, "toxicity")
+    scratch = Scratch(docs.sparkSession, "toxicity")
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out("doc_id", modulus, remainder))
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("y")).where(~held_out("doc_id", modulus, remainder))
     # at most max_rows ids, so the broadcast is bounded
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    got = base.where("not held_out").join(F.broadcast(some), "doc_id").select("doc_id", "text", "y").toPandas()
-    got = got.sort_values(["doc_id", "text"], na_position="first").drop_duplicates("doc_id") if len(got) else got
-    model = fit(got["text"].tolist(), got["y"].to_numpy(np.int64))
+    # however many rows an id has, one of them is kept; at most max_rows
+    picked = scratch.table(base.where("not held_out").join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), "labelled")
+    sizes = picked.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    total, over = 0, []
+    for r in sizes:
+        if total + r["n"] > max_chars:
+            over.append(r["doc_id"])
+        else:
+            total += r["n"]
+    got = (picked.where(~F.col("doc_id").isin(over)) if over else picked).toPandas()
+    got = got.sort_values("doc_id") if len(got) else got
+    scratch.drop()
+    model = fit(got["text"].tolist(), got["y"].to_numpy(np.int64), features)
     return base.mapInArrow(_score(model, threshold), f"doc_id {dict(base.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
 

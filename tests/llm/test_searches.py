@@ -67,6 +67,31 @@ def test_embedding_dedup(spark, chunk):
     assert embedding_dedup.embedding_near_dedup(df.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.standard_normal((2, 16))
+    near = [(a + 0.01 * rng.standard_normal(16)).tolist() for _ in range(2)]
+    rows = [(5, a.tolist()), (5, b.tolist()), (6, near[0]), (7, near[1])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(5, 0, 5), (5, 2, 5), (6, 2, 5), (7, 2, 5)]
+
+
+def test_a_long_path_is_one_component(spark):
+    n = 300
+    df = spark.createDataFrame([(k, k + 1) for k in range(n)], "u long, v long")
+    assert {r.component for r in components(df, Scratch(spark, "p")).collect()} == {0}
+
+
+def test_settings_of_the_user_stay(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "777")
+    Scratch(spark, "s")
+    assert spark.conf.get(key) == "777"
+    spark.conf.unset(key)
+    Scratch(spark, "s")
+    assert spark.conf.get(key) == "2000"
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     u, v = rng.integers(0, 400, 260), rng.integers(0, 400, 260)
