@@ -81,6 +81,13 @@ def implied_roles(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source_id").alias("entity_id"), role.alias("role")).where("role is not null").groupBy("entity_id").agg(F.sort_array(F.collect_set("role")).alias("roles"))
 
 
+def edge_properties(evidence: DataFrame) -> DataFrame:
+    """source_id, relation, target_id, properties: of each property the first document's value that there is."""
+    key = ["source_id", "relation", "target_id"]
+    each = evidence.select(*key, "doc_seq", F.explode("properties").alias("name", "value")).groupBy(*key, "name").agg(F.min(F.when(F.col("value").isNotNull(), F.struct("doc_seq", "value")))["value"].alias("value"))
+    return each.where("value is not null").groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("properties"))
+
+
 def own_identifiers(claims: DataFrame) -> DataFrame:
     """The owner of (identifier_type, value) is its first claimant and never changes."""
     w = Window.partitionBy("identifier_type", "value").orderBy("doc_seq", "entity_id")
@@ -133,10 +140,10 @@ def evidence_of(evidence: DataFrame, documents: DataFrame, source_id: str, relat
     return mine.join(documents, "document_id", "left").orderBy(F.col("observed_at").asc_nulls_last(), "evidence_key")
 
 
-def explain_edge(edges: DataFrame, evidence: DataFrame, documents: DataFrame, decisions: DataFrame, audit: DataFrame, source_id: str, relation: str, target_id: str) -> dict[str, DataFrame]:
-    """The edge, its evidence, the candidate decisions behind it and its audit trail."""
+def explain_edge(edges: DataFrame, evidence: DataFrame, documents: DataFrame, decisions: DataFrame, source_id: str, relation: str, target_id: str) -> dict[str, DataFrame]:
+    """The edge, its evidence and the candidate decisions behind it."""
     mine = lambda df: df.where((F.col("source_id") == source_id) & (F.col("relation") == relation) & (F.col("target_id") == target_id))
-    return {"edge": mine(edges), "evidence": evidence_of(evidence, documents, source_id, relation, target_id), "decisions": mine(decisions), "audit": mine(audit).orderBy("audit_id")}
+    return {"edge": mine(edges), "evidence": evidence_of(evidence, documents, source_id, relation, target_id), "decisions": mine(decisions)}
 
 
 def stats(entities: DataFrame, edges: DataFrame, evidence: DataFrame, documents: DataFrame, reviews: DataFrame) -> DataFrame:

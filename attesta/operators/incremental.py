@@ -7,6 +7,7 @@ Tables are replaced by writing a new directory and moving a pointer.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +69,22 @@ def confirm_index(pending: DataFrame, confirmed: DataFrame) -> DataFrame:
     return pending.join(confirmed.select("document_id", F.col("enqueued_at").alias("done_at")), "document_id", "left").where("done_at is null or enqueued_at > done_at").drop("done_at")
 
 
+def drain_partitions(pending: DataFrame, sink, batch: int = BATCH) -> DataFrame:
+    """document_id, version_id that the sink confirmed; the executors call sink(action, rows), each in batches of its own partition.
+
+    rows and what the sink returns are lists of dicts. A task that is run again sends its rows again, so a sink must take a document twice.
+    """
+
+    def send(frames):
+        for f in frames:
+            for action, rows in f.groupby("action", sort=True):
+                for a in range(0, len(rows), batch):
+                    done = sink(action, rows.iloc[a : a + batch].to_dict("records"))
+                    yield pd.DataFrame([(r["document_id"], r["version_id"]) for r in done], columns=["document_id", "version_id"])
+
+    return pending.mapInPandas(send, "document_id string, version_id string")
+
+
 def drain(pending: DataFrame, sink) -> list:
     """Sends deletes and then upserts to sink(action, rows) in batches; returns what the sink confirmed."""
     done = []

@@ -1,6 +1,7 @@
 """Links the names of questions to entities: addresses, names and aliases, company domains; and ranks candidates by affinity.
 
-All questions are linked at once: their n-grams are joined with addresses, names and domain labels by equality.
+All questions are linked at once: their n-grams are joined with addresses, names and domain labels by equality. Names of any
+script are compared as name_key has them.
 """
 
 from __future__ import annotations
@@ -9,103 +10,167 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from attesta.functions.text import normalize_ascii
-from attesta.operators.interactions import affinity, org_affinity
+from attesta.functions.text import fold, name_key, question_words
+from attesta.operators.interactions import affinity, org_affinity, title_search
 
-LONGEST, PREFIX, LEAD, SHOWN = 4, 4, 3, 15
+LONGEST, PREFIX, LEAD, SHOWN, TITLES = 4, 4, 3, 15, 10
+LEAST_LABEL = 3
 
 
 def grams(questions: DataFrame, longest: int = LONGEST) -> DataFrame:
     """question_id, gram, n_words, capital of every run of up to ``longest`` words."""
-    w = F.filter(F.split(F.regexp_replace("text", r"[^A-Za-z0-9@._+&'-]+", " "), " "), lambda x: x != "")
-    q = questions.select("question_id", F.transform(w, lambda x: F.regexp_replace(x, r"[.'-]+$|'s$", "")).alias("w")).where("size(w) > 0")
+    q = questions.select("question_id", question_words(F.col("text")).alias("w")).where("size(w) > 0")
     q = q.select("question_id", "w", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n_words")).where("n_words <= size(w)")
     q = q.select("question_id", "w", "n_words", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n_words") + 1)).alias("at"))
     words = F.slice("w", F.col("at"), F.col("n_words"))
-    return q.select("question_id", "n_words", F.array_join(words, " ").alias("said")).withColumn("gram", F.lower("said")).withColumn("capital", F.col("said").rlike("^[A-Z]")).drop("said").distinct()
+    said = q.select("question_id", "n_words", F.array_join(words, " ").alias("said"))
+    # a script without upper case has no capitals to ask for
+    return said.withColumn("gram", fold(F.col("said"))).withColumn("capital", F.col("said").rlike(r"^[\p{Lu}\p{Lt}\p{Lo}]")).drop("said").distinct()
+
+
+def entity_names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """entity_id, entity_type, key of every name and alias of the active entities."""
+    live = entities.where("status = 'active'")
+    names = live.select("entity_id", "entity_type", name_key(F.col("canonical_name")).alias("key"))
+    return names.union(aliases.join(live.select("entity_id", "entity_type"), "entity_id").select("entity_id", "entity_type", name_key(F.col("alias")))).where("key <> ''").distinct()
 
 
 def link_entities(questions: DataFrame, entities: DataFrame, identifiers: DataFrame, aliases: DataFrame) -> DataFrame:
     """question_id, gram, entity_id of grams that mean exactly one entity; a gram within a longer linked one is left out.
 
-    An address links to its owner; two words or more to a name or alias; one capitalised word to a company's name or domain label.
+    An address links to its owner; two words or more to a name or alias of a person or company or, where there is none and they are
+    capitalised, to the company whose domain's label they make; one capitalised word to a company's name or domain label.
     """
     live = entities.where("status = 'active'")
-    names = live.select("entity_id", "entity_type", normalize_ascii(F.col("canonical_name")).alias("key")).union(aliases.join(live.select("entity_id", "entity_type"), "entity_id").select("entity_id", "entity_type", normalize_ascii(F.col("alias"))))
-    labels = identifiers.where("identifier_type = 'domain'").select("entity_id", F.substring_index("value", ".", 1).alias("key"))
+    names = entity_names(entities, aliases).where("entity_type in ('Person', 'Organization')")
+    labels = identifiers.where("identifier_type = 'domain'").join(live.select("entity_id"), "entity_id", "left_semi").select("entity_id", F.substring_index("value", ".", 1).alias("key"))
     owners = identifiers.where("identifier_type = 'email'").join(live.select("entity_id"), "entity_id", "left_semi").select("entity_id", F.col("value").alias("key"))
     g = grams(questions)
-    plain = g.withColumn("key", normalize_ascii(F.col("gram")))
-    hits = (
-        g.where(F.contains("gram", F.lit("@"))).withColumnRenamed("gram", "key").join(owners, "key").select("question_id", F.col("key").alias("gram"), "entity_id")
-        .union(plain.where("n_words > 1").join(names, "key").select("question_id", "gram", "entity_id"))
-        .union(plain.where("n_words = 1 and capital").join(names.where("entity_type = 'Organization'").select("entity_id", "key").union(labels), "key").select("question_id", "gram", "entity_id"))
-    )
+    address = g.where(F.contains("gram", F.lit("@")) & (F.col("n_words") == 1)).select("question_id", "gram", F.lower("gram").alias("key")).join(owners, "key").select("question_id", "gram", "entity_id")
+    plain = g.where(~F.contains("gram", F.lit("@"))).withColumn("key", name_key(F.col("gram"))).where("key <> ''")
+    several = plain.where("n_words > 1")
+    by_name = several.join(names, "key").select("question_id", "gram", "entity_id")
+    # words that make a domain's label: Bank of America, bankofamerica.com
+    nameless = several.where("capital").join(names.select("key"), "key", "left_anti").withColumn("key", F.replace("key", F.lit(" "), F.lit("")))
+    by_label = nameless.join(labels, "key").select("question_id", "gram", "entity_id")
+    companies = names.where("entity_type = 'Organization'").select("entity_id", "key").union(labels)
+    by_word = plain.where((F.col("n_words") == 1) & F.col("capital") & (F.length("key") >= LEAST_LABEL)).join(companies, "key").select("question_id", "gram", "entity_id")
+    hits = address.union(by_name).union(by_label).union(by_word)
     one = hits.groupBy("question_id", "gram").agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id")).where("n = 1").drop("n")
     # a question has a handful of linked grams
     all_grams = one.groupBy("question_id").agg(F.collect_list("gram").alias("others"))
     return one.join(all_grams, "question_id").where(~F.exists("others", lambda o: (F.length(o) > F.length("gram")) & F.contains(o, F.col("gram")))).drop("others")
 
 
-def person_candidates(people: DataFrame, said: str, emails: DataFrame | None = None) -> DataFrame:
-    """People (person_id, name) that a name may mean: the whole name; of one word also the first or last name or the start of an address;
-    of more, the last name with first names of which one begins with the other."""
-    words = said.lower().split()
+def person_candidates(people: DataFrame, said: str, emails: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """People (person_id, name) that a name may mean: the whole name or alias; of one word also the first name or the start of an address;
+    of more, where nobody has the whole name, the last name with first names of which one begins with the other."""
+    spark = people.sparkSession
+    key = spark.createDataFrame([(said,)], "said string").select(name_key(F.col("said"))).first()[0] or ""
+    words = key.split()
     if not words:
         return people.select("person_id", "name").limit(0)
-    low = F.lower("name")
-    first, last = F.substring_index(low, " ", 1), F.substring_index(low, " ", -1)
+    names = people.select(F.col("person_id").alias("id"), name_key(F.col("name")).alias("key"), F.lit(True).alias("own"))
+    if aliases is not None:
+        more = aliases.select(F.col("entity_id").alias("id"), name_key(F.col("alias")).alias("key"), F.lit(False).alias("own"))
+        names = names.union(more.join(people.select(F.col("person_id").alias("id")), "id", "left_semi"))
+    exact = names.where(F.col("key") == key).select("id")
     if len(words) == 1:
-        hit = people.where((low == words[0]) | (first == words[0]) | (last == words[0])).select("person_id", "name")
+        hit = exact.union(names.where(F.substring_index("key", " ", 1) == key).select("id"))
         if emails is not None:
-            hit = hit.union(people.join(emails.where(F.startswith("email", F.lit(words[0]))).select("person_id"), "person_id", "left_semi").select("person_id", "name"))
+            local = F.substring_index(F.substring_index("email", "@", 1), ".", 1)
+            hit = hit.union(emails.where(local == key).select(F.col("person_id").alias("id")))
     else:
-        exact = low == " ".join(words)
-        near = (last == words[-1]) & (F.startswith(first, F.lit(words[0])) | F.startswith(F.lit(words[0]), first))
-        hit = people.where(exact | near).select("person_id", "name")
-    return hit.distinct()
-
-
-def org_candidates(orgs: DataFrame, said: str) -> DataFrame:
-    """Organizations (org_id, name) of that name or domain label, else, of four letters or more, whose name begins so."""
-    key = " ".join(said.lower().split())
+        first, last = F.substring_index("key", " ", 1), F.substring_index("key", " ", -1)
+        near = names.where(F.col("own") & F.contains("key", F.lit(" ")) & (last == words[-1]) & (F.startswith(first, F.lit(words[0])) | F.startswith(F.lit(words[0]), first)))
+        none = exact.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(1).alias("one"))
+        # one row or none: nobody has the whole name
+        hit = exact.union(near.select("id", F.lit(1).alias("one")).join(F.broadcast(none), "one").select("id"))
+    return people.join(hit.distinct(), F.col("person_id") == F.col("id"), "left_semi").select("person_id", "name").distinct()
+
+
+def org_candidates(orgs: DataFrame, said: str, domains: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """Organizations (org_id, name) of that name, alias or domain label, else, of four letters or more, whose domain or name begins with the first word."""
+    spark = orgs.sparkSession
+    key = spark.createDataFrame([(said,)], "said string").select(name_key(F.col("said"))).first()[0] or ""
     if not key:
         return orgs.select("org_id", "name").limit(0)
-    low = F.lower("name")
-    rank = F.when((low == key) | (F.substring_index(low, ".", 1) == key), 1).when(F.startswith(low, F.lit(key)) if len(key) >= PREFIX else F.lit(False), 2)
-    ranked = orgs.withColumn("rank", rank).where("rank is not null")
-    return ranked.withColumn("best", F.min("rank").over(Window.partitionBy())).where("rank = best").select("org_id", "name")
+    label, first = key.replace(" ", ""), key.split()[0]
+    names = orgs.select("org_id", name_key(F.col("name")).alias("key"), F.lower(F.substring_index("name", ".", 1)).alias("label"))
+    if domains is not None:
+        names = names.union(domains.select("org_id", F.lit("").alias("key"), F.substring_index("domain", ".", 1)))
+    if aliases is not None:
+        names = names.union(aliases.select(F.col("entity_id").alias("org_id"), name_key(F.col("alias")), F.lit("")))
+    begins = F.startswith("label", F.lit(first)) if len(first) >= PREFIX else F.lit(False)
+    rank = F.when((F.col("key") == key) | (F.col("label") == label), 1).when(begins, 2)
+    ranked = names.withColumn("rank", rank).where("rank is not null").groupBy("org_id").agg(F.min("rank").alias("rank"))
+    ranked = ranked.withColumn("best", F.min("rank").over(Window.partitionBy(F.lit(1)))).where("rank = best")
+    return orgs.join(ranked.select("org_id"), "org_id", "left_semi").select("org_id", "name")
 
 
 def find(people: DataFrame, orgs: DataFrame, parts: DataFrame, said: str, asker: str | None = None, limit: int = SHOWN) -> DataFrame:
-    """id, type, name, score: candidates ranked by events shared with the asker (without one, by all events); the asker is left out."""
-    p = person_candidates(people, said)
+    """id, type, name, score: people and companies ranked by events shared with the asker (without one, by all events); the asker is left out."""
+    return _ranked(people, orgs, parts, person_candidates(people, said), org_candidates(orgs, said), asker).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def _ranked(people: DataFrame, orgs: DataFrame, parts: DataFrame, p: DataFrame, o: DataFrame, asker: str | None, works: DataFrame | None = None) -> DataFrame:
     who = p.join(affinity(parts, p, asker), "person_id").select(F.col("person_id").alias("id"), F.lit("Person").alias("type"), "name", "score")
-    o = org_candidates(orgs, said)
-    what = o.join(org_affinity(parts, people, o, asker), "org_id").select(F.col("org_id").alias("id"), F.lit("Organization").alias("type"), "name", "score")
+    what = o.join(org_affinity(parts, people if works is None else works, o, asker), "org_id").select(F.col("org_id").alias("id"), F.lit("Organization").alias("type"), "name", "score")
     out = who.union(what)
-    if asker:
-        out = out.where(F.col("id") != asker)
-    return out.orderBy(F.desc("score"), "id").limit(limit)
+    return out.where(F.col("id") != asker) if asker else out
+
+
+def find_records(model, said: str, kind: str | None = None, asker: str | None = None, limit: int = SHOWN) -> DataFrame:
+    """id, type, name, score, email, organization, event_at: everything of a graph that a name, address or title may mean.
+
+    An address means its owner. Otherwise people, companies and, by all words of the title, the newest meetings and documents; kind asks for one type.
+    Ranked by events shared with the asker, titles after them by time.
+    """
+    emails = domains = None
+    if model.identifiers is not None:
+        emails = model.identifiers.where("identifier_type = 'email'").select(F.col("entity_id").alias("person_id"), F.col("value").alias("email"))
+        domains = model.identifiers.where("identifier_type = 'domain'").select(F.col("entity_id").alias("org_id"), F.col("value").alias("domain"))
+    none = model.events.limit(0)
+    if "@" in said and emails is not None:
+        owner = emails.where(F.col("email") == said.strip().lower()).select("person_id")
+        p, o, titles = model.people.join(owner, "person_id", "left_semi").select("person_id", "name"), model.orgs.select("org_id", "name").limit(0), none
+    else:
+        p = person_candidates(model.people, said, emails, model.aliases) if kind in (None, "Person") else model.people.select("person_id", "name").limit(0)
+        o = org_candidates(model.orgs, said, domains, model.aliases) if kind in (None, "Organization") else model.orgs.select("org_id", "name").limit(0)
+        of_kind = {"Meeting": "meeting", "Document": "email"}.get(kind)
+        events = model.events.where(F.col("kind") == of_kind) if of_kind else model.events
+        titles = title_search(events, said.split(), TITLES) if kind in (None, "Meeting", "Document") else none
+    ranked = _ranked(model.people, model.orgs, model.parts, p, o, asker, model.works)
+    first_email = emails.groupBy(F.col("person_id").alias("id")).agg(F.min("email").alias("email")) if emails is not None else ranked.sparkSession.createDataFrame([], "id string, email string")
+    staff = (model.works if model.works is not None else model.people.select("person_id", "org_id")).join(model.orgs.select("org_id", F.col("name").alias("organization")), "org_id")
+    first_org = staff.groupBy(F.col("person_id").alias("id")).agg(F.min("organization").alias("organization"))
+    ranked = ranked.join(first_email, "id", "left").join(first_org, "id", "left").withColumn("event_at", F.lit(None).cast("string"))
+    null = F.lit(None).cast("string")
+    named = titles.select(F.col("event_id").alias("id"), F.when(F.col("kind") == "meeting", "Meeting").otherwise("Document").alias("type"), F.col("title").alias("name"), F.lit(None).cast("long").alias("score"), null.alias("email"), null.alias("organization"), F.col("event_at"))
+    out = ranked.select("id", "type", "name", "score", "email", "organization", "event_at").union(named)
+    return out.orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("event_at"), "id").limit(limit)
 
 
 def close_candidates(found: DataFrame, lead: int = LEAD) -> bool:
     """Whether the best candidate does not lead clearly."""
-    top = [r["score"] for r in found.orderBy(F.desc("score"), "id").limit(2).collect()]
+    top = [r["score"] for r in found.where("score is not null").orderBy(F.desc("score"), "id").limit(2).collect()]
     return len(top) == 2 and (top[0] == 0 or top[0] < lead * top[1])
 
 
-def resolve_mentions(people: DataFrame, orgs: DataFrame, parts: DataFrame, mentions: list[tuple[str, str | None]], asker: str | None = None) -> list[dict]:
+def resolve_mentions(people: DataFrame, orgs: DataFrame, parts: DataFrame, mentions: list[tuple[str, str | None]], asker: str | None = None, emails: DataFrame | None = None, aliases: DataFrame | None = None, works: DataFrame | None = None) -> list[dict]:
     """(person, company or None) mentions as linked, ambiguous or unknown: the company first, then the person among its people."""
     out = []
     for said, company in mentions:
         staff, org = people, None
         if company:
-            org = find(people.limit(0), orgs, parts, company).first()
+            best = _ranked(people, orgs, parts, people.select("person_id", "name").limit(0), org_candidates(orgs, company, None, aliases), asker, works)
+            org = best.orderBy(F.desc("score"), "id").first()
             if org:
-                staff = people.where(F.col("org_id") == org["id"])
-        found = find(staff, orgs.limit(0), parts, said, asker)
-        rows = found.limit(5).collect()
-        outcome = "unknown" if not rows else "ambiguous" if close_candidates(found) else "linked"
-        out.append({"said": said, "company": org["id"] if org else None, "outcome": outcome, "candidates": [r["id"] for r in (rows[:1] if outcome == "linked" else rows)]})
+                inside = (people if works is None else works).where(F.col("org_id") == org["id"]).select("person_id")
+                staff = people.join(inside, "person_id", "left_semi")
+        found = _ranked(people, orgs, parts, person_candidates(staff, said, emails, aliases), orgs.select("org_id", "name").limit(0), asker, works)
+        rows = found.orderBy(F.desc("score"), "id").limit(5).collect()
+        lead = len(rows) < 2 or (rows[0]["score"] > 0 and rows[0]["score"] >= LEAD * rows[1]["score"])
+        outcome = "unknown" if not rows else "linked" if lead else "ambiguous"
+        out.append({"said": said, "company": org["id"] if org else None, "outcome": outcome, "candidates": [r["id"] for r in (rows[:1] if outcome == "linked" else rows)], "names": [r["name"] for r in (rows[:1] if outcome == "linked" else rows)]})
     return out

@@ -13,8 +13,11 @@ from attesta.operators import compiler, extract, ontology, resolve, verify
 from attesta.plans.graph_queries import ADDRESSES_SQL, EMAIL_SQL, addresses, read
 from attesta.plans.projection import MODEL_SQL, STAMP, key, mail_parts, order_lines
 from attesta.sources.adapters import mail_rows
+from attesta.sources.work import hold
 
 INTERNAL = ["acme.com"]
+#: Forms of a date in mail: two that mean one time, a placeholder, none, and one that can't be read.
+DATES = ("Mon, 4 Sep 2023 10:00:00 +0200", "2023-09-04T08:00:00Z", "Thu, 1 Jan 1970 00:00:00 +0000", None, "soon")
 
 
 def documents(spark, d):
@@ -29,7 +32,7 @@ def documents(spark, d):
     orders = read(spark, d, "orders").select(key("o:", "o_orderkey").alias("event_id"), "o_orderkey", F.date_format("o_orderdate", STAMP).alias("created_at"))
     return orders.join(people, "event_id").select(
         F.col("event_id").alias("document_id"), E.uuid5(F.col("event_id")).alias("version_id"), F.col("o_orderkey").alias("doc_seq"), F.lit("orders").alias("source_system"), F.col("o_orderkey").cast("string").alias("external_id"), F.lit("email").alias("source_type"),
-        key("order ", "o_orderkey").alias("title"), "created_at", F.lit(None).cast("string").alias("updated_at"), "participants", F.array().cast(f"array<{extract.SECTION}>").alias("sections"),
+        key("order ", "o_orderkey").alias("title"), "created_at", F.lit(None).cast("string").alias("updated_at"), "participants", F.array().cast(f"array<{extract.SECTION}>").alias("sections"), F.create_map().cast("map<string,string>").alias("metadata"),
     )
 
 
@@ -62,12 +65,60 @@ ok AS (SELECT * FROM fit WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.org = fit.org
 SELECT DISTINCT 'person:' || q AS handle_id, 'person:' || p AS person_id, kind, CASE WHEN count(DISTINCT p) OVER (PARTITION BY q) = 1 THEN 'MATCHED' ELSE 'POSSIBLE_DUPLICATE' END AS outcome FROM ok""".replace("count(DISTINCT p) OVER (PARTITION BY q) = 1", "(SELECT count(DISTINCT z.p) FROM ok z WHERE z.q = ok.q) = 1")
 
 
+_COMPILED: dict = {}
+
+
 def compiled(spark, d):
-    return compiler.compile_graph(documents(spark, d), INTERNAL)
+    """The graph of the order mails, compiled once in a session: the queries below look at it from all sides."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _COMPILED:
+        _COMPILED[key] = compiler.compile_graph(documents(spark, d), INTERNAL)
+    return _COMPILED[key]
+
+
+def _known_by(g):
+    """entity_id, key: the least mailbox, domain or source id of each entity, which says in SQL who it is."""
+    main = g.identifiers.where("identifier_type in ('mailbox', 'domain', 'source_id')")
+    return main.groupBy("entity_id").agg(F.min("value").alias("key"))
 
 
 def compiled_edges(spark, d):
-    return compiled(spark, d).edges.groupBy("relation").agg(F.count("*").alias("edges"), F.sum("evidence_count").alias("evidence"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("confidence").alias("confidence"))
+    g = compiled(spark, d)
+    end = lambda side: _known_by(g).toDF(f"{side}_id", f"{side}_key")
+    return g.edges.join(end("source"), "source_id").join(end("target"), "target_id").select("source_key", "relation", "target_key", "evidence_count", "first_seen", "last_seen", "confidence", "provenance", "recipient_type")
+
+
+def compiled_entities(spark, d):
+    g = compiled(spark, d)
+    return g.entities.join(_known_by(g), "entity_id").select("entity_type", "key", "canonical_name", "identity_strength", "status")
+
+
+def compiled_identifiers(spark, d):
+    g = compiled(spark, d)
+    return g.identifiers.where("identifier_type <> 'source_id'").join(_known_by(g), "entity_id").select("identifier_type", "value", "key")
+
+
+def compiled_evidence(spark, d):
+    g = compiled(spark, d)
+    end = lambda side: _known_by(g).toDF(f"{side}_id", f"{side}_key")
+    return g.evidence.join(end("source"), "source_id").join(end("target"), "target_id").select("document_id", "source_key", "relation", "target_key", "observed_at")
+
+
+def entity_outcomes(spark, d):
+    g = compiled(spark, d)
+    return g.entity_decisions.groupBy("entity_type", "decision").agg(F.count("*").alias("n"), F.countDistinct("entity_id").alias("entities"))
+
+
+def mentioned_names(spark, d):
+    """Candidates made of customers: an address for some, a bare name for others, so that every outcome of a name occurs."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("Name "), (k % 40).cast("string"))
+    kind = F.when(k % 10 == 3, "Gadget").otherwise("Person")
+    ids = F.when(k % 4 == 0, F.array(extract.identifier("email", F.concat(F.lit("u"), k % 60, F.lit("@x.org"))))).otherwise(F.array().cast(extract.IDENTIFIERS))
+    base = read(spark, d, "customer").withColumns({"document_id": key("d:", "c_custkey"), "version_id": key("v:", "c_custkey"), "doc_seq": k.cast("long")})
+    c = extract._entity(base, key("p:", "c_custkey"), kind, name, ids, {})
+    g = compiler.entity_decisions(c, ontology.Ontology(), [], hold)[0]
+    return g.select("document_id", "entity_type", "decision", "reason")
 
 
 def type_mapping(spark, d):
@@ -115,9 +166,9 @@ def verified_parts(spark, d):
 
 
 def quoted_mail_documents(spark, d):
-    c = read(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), F.concat(F.lit("A B <U"), "conv_id", F.lit("@x.com>")).alias("from"), F.array(F.lit("c@y.com")).alias("to"), F.array().cast("array<string>").alias("cc"), F.col("role").alias("subject"), F.lit("Mon, 4 Sep 2023 10:00:00 +0200").alias("date"), F.concat("text", F.lit("\n> old")).alias("body"))
+    c = read(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), F.concat(F.lit("A B <U"), "conv_id", F.lit("@x.com>")).alias("from"), F.array(F.lit("c@y.com")).alias("to"), F.array().cast("array<string>").alias("cc"), F.col("role").alias("subject"), F.get(F.array(*map(F.lit, DATES)), (F.col("conv_id") % len(DATES)).cast("int")).alias("date"), F.concat("text", F.lit("\n> old")).alias("body"))
     m = mail_rows(c)
-    return m.select("external_id", "created_at", F.col("participants")[0]["email"].alias("sender"), F.col("participants")[0]["name"].alias("sender_name"), F.size("participants").alias("participants"), F.col("sections")[F.size("sections") - 1]["text"].alias("quoted"))
+    return m.select("external_id", "created_at", F.col("metadata")["rejected_date"].alias("rejected_date"), F.col("participants")[0]["email"].alias("sender"), F.col("participants")[0]["name"].alias("sender_name"), F.size("participants").alias("participants"), F.col("sections")[F.size("sections") - 1]["text"].alias("quoted"))
 
 
 QUERIES = {
@@ -125,8 +176,12 @@ QUERIES = {
     "document_people": lambda s, d: persons(s, d).select("document_id", "local_id", "mailbox"),
     "handle_links": links,
     "compiled_edges": compiled_edges,
-    "compiled_decisions": lambda s, d: compiled(s, d).decisions.groupBy("relation", "decision").agg(F.count("*").alias("n")),
-    "compiled_entities": lambda s, d: compiled(s, d).entities.groupBy("entity_type").agg(F.count("*").alias("n")),
+    "compiled_decisions": lambda s, d: compiled(s, d).decisions.groupBy("document_id", "relation", "decision").agg(F.count("*").alias("n")),
+    "compiled_entities": compiled_entities,
+    "compiled_identifiers": compiled_identifiers,
+    "compiled_evidence": compiled_evidence,
+    "entity_outcomes": entity_outcomes,
+    "mentioned_names": mentioned_names,
     "type_mapping": type_mapping,
     "relation_mapping": relation_mapping,
     "entity_violations": entity_checks,
@@ -135,7 +190,42 @@ QUERIES = {
     "mail_documents": quoted_mail_documents,
 }
 
+#: Who is who after handles are linked: mailbox to the key of its person, with the order of its first mention.
+COMPILED_SQL = f"""{DOCS_SQL}, fits AS ({LINKS_SQL}),
+found AS (SELECT substr(handle_id, 8) AS mailbox, min(substr(person_id, 8)) AS person FROM fits WHERE outcome = 'MATCHED' GROUP BY 1),
+boxes AS (SELECT DISTINCT m.mailbox, coalesce(f.person, m.mailbox) AS root FROM m LEFT JOIN found f ON f.mailbox = m.mailbox),
+who_is AS (SELECT b.mailbox, r.key FROM boxes b JOIN (SELECT root, min(mailbox) AS key FROM boxes GROUP BY 1) r ON r.root = b.root),
+ev AS (SELECT event_id, 'orders:' || substr(event_id, 3) AS source_key, relation, w.key AS target_key, e.b AS local FROM e JOIN who_is w ON w.mailbox = e.b WHERE relation <> 'WORKS_AT'
+  UNION ALL SELECT event_id, w.key, relation, e.b, e.a FROM e JOIN who_is w ON w.mailbox = e.a WHERE relation = 'WORKS_AT'),
+stamps AS (SELECT 'o:' || o_orderkey AS event_id, o_orderkey AS seq, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS observed_at FROM orders),
+said AS (SELECT entity_id AS person_id, person_name AS name, NOT role_address AND coalesce(first, shown_first) IS NOT NULL AS known FROM ({EMAIL_SQL})
+  UNION ALL SELECT person_id, mailbox, false FROM ({_SUPPLIERS})),
+roles AS (SELECT event_id, mailbox, role FROM m)
+"""
+
 ORACLE_SQL = {
+    "compiled_edges": COMPILED_SQL + """SELECT source_key, relation, target_key, count(DISTINCT event_id || '/' || local) AS evidence_count, min(observed_at) AS first_seen, max(observed_at) AS last_seen,
+CASE relation WHEN 'WORKS_AT' THEN 0.7 ELSE 1.0 END::DOUBLE AS confidence, 'STRUCTURED_SOURCE' AS provenance,
+CASE relation WHEN 'SENT_TO' THEN (SELECT min(CASE r.role WHEN 'to' THEN '0to' ELSE '1cc' END)[2:] FROM roles r JOIN who_is w ON w.mailbox = r.mailbox WHERE 'orders:' || substr(r.event_id, 3) = source_key AND w.key = target_key AND r.role <> 'sender') END AS recipient_type
+FROM ev JOIN stamps USING (event_id) GROUP BY source_key, relation, target_key""",
+    "compiled_evidence": COMPILED_SQL + "SELECT event_id AS document_id, source_key, relation, target_key, observed_at FROM (SELECT DISTINCT * FROM ev) JOIN stamps USING (event_id)",
+    "compiled_decisions": COMPILED_SQL + "SELECT event_id AS document_id, relation, 'ACCEPTED' AS decision, count(DISTINCT source_key || '/' || target_key || '/' || local) AS n FROM ev GROUP BY event_id, relation",
+    "compiled_entities": COMPILED_SQL + """SELECT 'Person' AS entity_type, w.key, min(struct_pack(p := NOT s.known, q := z.seq, l := m.mailbox, n := s.name)).n AS canonical_name, 'identifier' AS identity_strength, 'active' AS status
+FROM m JOIN who_is w ON w.mailbox = m.mailbox JOIN said s ON s.person_id = m.person_id JOIN stamps z ON z.event_id = m.event_id GROUP BY w.key
+UNION ALL SELECT 'Document', 'orders:' || o_orderkey, 'order ' || o_orderkey, 'identifier', 'active' FROM orders
+UNION ALL SELECT DISTINCT 'Organization', target_key, target_key, 'identifier', 'active' FROM ev WHERE relation = 'WORKS_AT'""",
+    "compiled_identifiers": COMPILED_SQL + f"""SELECT DISTINCT 'mailbox' AS identifier_type, mailbox AS value, key FROM who_is
+UNION ALL SELECT DISTINCT 'email', a.email, w.key FROM m JOIN (SELECT entity_id AS person_id, email FROM ({EMAIL_SQL}) UNION ALL SELECT person_id, mailbox FROM ({_SUPPLIERS})) a ON a.person_id = m.person_id JOIN who_is w ON w.mailbox = m.mailbox
+UNION ALL SELECT DISTINCT 'domain', target_key, target_key FROM ev WHERE relation = 'WORKS_AT'""",
+    "entity_outcomes": COMPILED_SQL + """, n AS (SELECT 'Person' AS entity_type, event_id, m.mailbox, key FROM m JOIN who_is w ON w.mailbox = m.mailbox GROUP BY ALL
+  UNION ALL SELECT 'Document', event_id, event_id, event_id FROM stamps UNION ALL SELECT DISTINCT 'Organization', event_id, target_key, target_key FROM ev WHERE relation = 'WORKS_AT')
+SELECT entity_type, 'CREATED' AS decision, count(DISTINCT key) AS n, count(DISTINCT key) AS entities FROM n GROUP BY 1
+UNION ALL SELECT entity_type, 'MATCHED', count(*) - count(DISTINCT key), (SELECT count(*) FROM (SELECT entity_type AS t, key FROM n GROUP BY ALL HAVING count(*) > 1) z WHERE z.t = n.entity_type) FROM n GROUP BY 1 HAVING count(*) > count(DISTINCT key)""",
+    "mentioned_names": """WITH c AS (SELECT c_custkey AS k, 'Name ' || c_custkey % 40 AS name, c_custkey % 10 = 3 AS odd, c_custkey % 4 = 0 AS addressed, c_custkey % 60 AS who FROM customer),
+live AS (SELECT *, min(k) OVER (PARTITION BY name) AS first_k, min(k) OVER (PARTITION BY who, addressed) AS first_who FROM c WHERE NOT odd)
+SELECT 'd:' || k AS document_id, NULL AS entity_type, 'REVIEW' AS decision, 'NEW_ONTOLOGY_CANDIDATE' AS reason FROM c WHERE odd
+UNION ALL SELECT 'd:' || k, 'Person', CASE WHEN k = first_who THEN 'CREATED' ELSE 'MATCHED' END, 'identifier' FROM live WHERE addressed
+UNION ALL SELECT 'd:' || k, 'Person', CASE WHEN k = first_k THEN 'CREATED' ELSE 'REVIEW' END, CASE WHEN k = first_k THEN 'mention' ELSE 'AMBIGUOUS_ENTITY_MATCH' END FROM live WHERE NOT addressed""",
     "candidate_edges": DOCS_SQL + """SELECT relation, CASE relation WHEN 'AUTHORED_BY' THEN 'email.from' WHEN 'SENT_TO' THEN 'email.recipients' ELSE 'email_domain_employment' END AS rule, count(*) AS n, count(DISTINCT a) AS sources, count(DISTINCT b) AS targets,
 CASE relation WHEN 'WORKS_AT' THEN 0.7 ELSE 1.0 END::DOUBLE AS confidence FROM e GROUP BY 1, 2""",
     "document_people": DOCS_SQL + "SELECT DISTINCT event_id AS document_id, 'person:' || mailbox AS local_id, mailbox FROM m",
@@ -143,7 +233,7 @@ CASE relation WHEN 'WORKS_AT' THEN 0.7 ELSE 1.0 END::DOUBLE AS confidence FROM e
     "entity_violations": "SELECT CASE o_orderkey % 6 WHEN 0 THEN 'UNKNOWN_ENTITY_TYPE' WHEN 1 THEN 'MISSING_IDENTITY' WHEN 2 THEN 'UNKNOWN_IDENTIFIER_TYPE' WHEN 3 THEN 'UNKNOWN_PROPERTY' WHEN 4 THEN 'UNKNOWN_IDENTIFIER_TYPE,ROLE_NOT_APPLICABLE' ELSE '' END AS violations, count(*) AS n FROM orders GROUP BY 1",
     "edge_violations": "SELECT CASE o_orderkey % 6 WHEN 0 THEN 'UNKNOWN_RELATION' WHEN 1 THEN 'SOURCE_TYPE_NOT_ALLOWED' WHEN 2 THEN 'TARGET_TYPE_NOT_ALLOWED' WHEN 3 THEN 'SELF_EDGE' WHEN 4 THEN 'UNKNOWN_PROVENANCE_CLASS' ELSE 'MISSING_EVIDENCE' END AS violations, count(*) AS n FROM orders GROUP BY 1",
     "verified_parts": """SELECT conv_id || '-' || turn AS part_id, CASE conv_id % 5 WHEN 1 THEN 'R: give three words or more of the passage' WHEN 2 THEN 'R: the quote is not in the passage' WHEN 3 THEN 'R was not returned' WHEN 4 THEN 'numbers not in the evidence: 43' ELSE '' END AS problems FROM conversations""",
-    "mail_documents": "SELECT conv_id || '-' || turn AS external_id, '2023-09-04 08:00:00' AS created_at, 'u' || conv_id || '@x.com' AS sender, 'A B' AS sender_name, 2 AS participants, '> old' AS quoted FROM conversations",
+    "mail_documents": "SELECT conv_id || '-' || turn AS external_id, CASE WHEN conv_id % 5 < 2 THEN '2023-09-04 08:00:00' END AS created_at, CASE WHEN conv_id % 5 = 2 THEN 'Thu, 1 Jan 1970 00:00:00 +0000' END AS rejected_date, 'u' || conv_id || '@x.com' AS sender, 'A B' AS sender_name, 2 AS participants, '> old' AS quoted FROM conversations WHERE conv_id % 5 <> 4",
     "type_mapping": "SELECT * FROM (VALUES " + ", ".join(f"('{w}', {t}, {r})" for w, t, r in [*[(t, f"'{t}'", "NULL") for t in P.ENTITY_TYPES], *[(r, "'Organization'", f"'{r}'") for r in P.ROLES], ("customer company", "'Organization'", "'Customer'"), ("to_do", "'ActionItem'", "NULL"), ("ActionItem", "'ActionItem'", "NULL"), ("follow-up", "'ActionItem'", "NULL"), ("widget", "NULL", "NULL"), ("Vendor", "'Organization'", "'Vendor'")]) + ") t(suggested_type, entity_type, role)",
     "relation_mapping": """SELECT * FROM (VALUES ('OWNS', 'Person', 'Project', 'OWNS_PROJECT', 'MAPPED'), ('owns', 'Person', 'Organization', 'OWNS_PROJECT', 'TYPE_VIOLATION'), ('works for', 'Person', 'Organization', 'WORKS_AT', 'MAPPED'),
 ('employedBy', 'Person', 'Organization', 'WORKS_AT', 'MAPPED'), ('invited', 'Meeting', 'Person', 'HAS_PARTICIPANT', 'MAPPED'), ('WORKS_AT', 'Organization', 'Person', 'WORKS_AT', 'TYPE_VIOLATION'), ('likes', 'Person', 'Person', NULL, 'UNRESOLVED'),

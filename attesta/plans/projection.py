@@ -6,23 +6,33 @@ every third order, by its lead supplier; hours of the event stream are meetings.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from attesta.sources.work import shared_folder
+
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
 @dataclass
 class Model:
-    """people: person_id, name, org_id. orgs: org_id, name, is_internal. events: event_id, kind, title, event_at. parts: event_id, person_id, role."""
+    """people: person_id, name, org_id. orgs: org_id, name, is_internal. events: event_id, kind, title, event_at. parts: event_id, person_id, role.
+
+    From a graph also works (person_id, org_id) of every employment, identifiers, aliases and documents.
+    """
 
     people: DataFrame
     orgs: DataFrame
     events: DataFrame
     parts: DataFrame
+    works: DataFrame | None = None
+    identifiers: DataFrame | None = None
+    aliases: DataFrame | None = None
+    documents: DataFrame | None = None
 
 
 def key(prefix: str, c: Column | str) -> Column:
@@ -61,17 +71,47 @@ def meeting_parts(events: DataFrame) -> DataFrame:
     return events.select(hour_id().alias("event_id"), key("c:", "user_id").alias("person_id"), role.alias("role")).distinct()
 
 
-def load(spark: SparkSession, sf_dir: str) -> Model:
+SOURCES = ("customer", "supplier", "nation", "orders", "lineitem", "events")
+
+
+def project(spark: SparkSession, sf_dir: str) -> Model:
+    """The model as plans over the tables."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     people = read("customer").select(key("c:", "c_custkey").alias("person_id"), F.col("c_name").alias("name"), key("n:", "c_nationkey").alias("org_id"))
     people = people.union(read("supplier").select(key("s:", "s_suppkey"), "s_name", key("n:", "s_nationkey")))
     orgs = read("nation").select(key("n:", "n_nationkey").alias("org_id"), F.col("n_name").alias("name"), (F.col("n_regionkey") == 0).alias("is_internal"))
     stream = read("events")
     mail = read("orders").select(key("o:", "o_orderkey").alias("event_id"), F.lit("email").alias("kind"), key("order ", "o_orderkey").alias("title"), F.date_format("o_orderdate", STAMP).alias("event_at"))
-    hours = stream.select(hour_id().alias("event_id"), F.lit("meeting").alias("kind"), F.concat(F.lit("hour "), F.date_format(F.date_trunc("hour", "ts"), "yyyyMMddHH")).alias("title"), F.date_format(F.date_trunc("hour", "ts"), STAMP).alias("event_at")).distinct()
+    hour = F.date_trunc("hour", "ts")
+    hours = stream.select(hour_id().alias("event_id"), F.lit("meeting").alias("kind"), F.concat(F.lit("hour "), F.date_format(hour, "yyyyMMddHH")).alias("title"), F.date_format(hour, STAMP).alias("event_at")).distinct()
     return Model(people, orgs, mail.union(hours), mail_parts(order_lines(spark, sf_dir)).union(meeting_parts(stream)))
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> str:
+    """What changes when a source table does: the names, lengths and times of its files."""
+    out = [sf_dir]
+    for t in SOURCES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
+            out.append(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}")
+    return hashlib.md5("|".join(out).encode()).hexdigest()[:12]
+
+
+def load(spark: SparkSession, sf_dir: str) -> Model:
+    """The model with events and parts as tables, as a graph has them: written once in a session and bucketed by event.
+
+    All that groups or joins by event then needs no exchange. A changed source file gives another table.
+    """
+    m = project(spark, sf_dir)
+    name, n = f"attesta_{_stamp(spark, sf_dir)}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for part in ("events", "parts"):
+        if not spark.catalog.tableExists(f"{name}_{part}"):
+            path = f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}/{part}"
+            rows = getattr(m, part).repartition(n, "event_id")
+            rows.write.mode("overwrite").bucketBy(n, "event_id").sortBy("event_id").option("path", path).saveAsTable(f"{name}_{part}")
+    return Model(m.people, m.orgs, spark.table(f"{name}_events"), spark.table(f"{name}_parts"))
+
+
 #: The same model as DuckDB common table expressions.
 MODEL_SQL = """
 people AS (SELECT 'c:' || c_custkey AS person_id, c_name AS name, 'n:' || c_nationkey AS org_id FROM customer

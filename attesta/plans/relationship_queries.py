@@ -10,6 +10,7 @@ from attesta.operators import interactions as I
 from attesta.operators import linking, search
 from attesta.plans.projection import MODEL_SQL, load
 
+COMPANY = "NATION_1"
 ORG_A, ORG_B, PERSON_A, PERSON_B, EVENT = "n:3", "n:7", "c:5", "s:5", "o:3"
 TO = "('to', 'cc', 'bcc')"
 
@@ -60,6 +61,20 @@ def _edges(m):
     return mail.select(F.col("person_id").alias("source_id"), F.col("event_id").alias("target_id"), F.col("event_at").alias("last_seen"))
 
 
+def _linked(spark, d):
+    """Questions about customers and nations, in several spellings."""
+    m = load(spark, d)
+    k = F.col("c_custkey")
+    spelt = F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, F.upper("c_name")).otherwise(F.concat("c_name", F.lit("'s")))
+    q = spark.read.parquet(f"{d}/customer.parquet").select(k.alias("question_id"), F.concat(F.lit("did "), spelt, F.lit(" write to Bob in Å"), (k % 7).cast("string"), F.lit("?")).alias("text"))
+    rows = m.people.select(F.col("person_id").alias("entity_id"), F.lit("Person").alias("entity_type"), F.col("name").alias("canonical_name"), F.lit("active").alias("status"))
+    none = spark.createDataFrame([], "entity_id string, identifier_type string, value string")
+    aliases = m.people.select(F.col("person_id").alias("entity_id"), F.concat(F.lit("Mr "), "name").alias("alias"))
+    named = rows.withColumn("canonical_name", F.replace("canonical_name", F.lit("#"), F.lit(" ")))
+    spaced = q.withColumn("text", F.replace("text", F.lit("#"), F.lit(" ")))
+    return linking.link_entities(spaced, named, none, aliases).select("question_id", "gram", "entity_id")
+
+
 QUERIES = {
     "parts_by_role": _model(lambda m: m.parts.groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("person_id").alias("people"))),
     "events_by_kind": _model(lambda m: m.events.groupBy("kind").agg(F.count("*").alias("n"), F.min("event_at").alias("first_at"), F.max("event_at").alias("last_at"))),
@@ -87,7 +102,13 @@ QUERIES = {
     "broadcast_only_people": _model(lambda m: m.parts.select("person_id").distinct().join(I.receivers(m.parts), "person_id", "left_anti")),
     "neighborhood": _model(lambda m: I.neighborhood(_edges(m), PERSON_B, 2, 5)),
     "find_person": _model(lambda m: linking.find(m.people, m.orgs, m.parts, "Customer#000000005", PERSON_B)),
-    "find_company": _model(lambda m: linking.find(m.people, m.orgs, m.parts, "NATION_1", PERSON_B)),
+    "find_company": _model(lambda m: linking.find(m.people, m.orgs, m.parts, COMPANY, PERSON_B)),
+    "find_records": _model(lambda m: linking.find_records(m, "order 99", None, PERSON_B)),
+    "correspondents": _model(lambda m: I.correspondents(m.parts, m.events, m.people, m.orgs, PERSON_B)),
+    "outside_correspondents": _model(lambda m: I.correspondents(m.parts, m.events, m.people, m.orgs, PERSON_B, external=True)),
+    "conversations": _model(lambda m: I.conversations(m.parts, m.events, PERSON_B)),
+    "company_person_facts": _model(lambda m: I.org_person_facts(m.parts, m.events, m.people, ORG_A, PERSON_B)),
+    "linked_names": lambda s, d: _linked(s, d),
     "passage_search": lambda s, d: search.bm25(s.read.parquet(f"{d}/documents.parquet"), "this work is licensed under the general public license"),
     "vector_search": lambda s, d: search.cosine(s.read.parquet(f"{d}/embeddings.parquet"), [1.0] * 64),
 }
@@ -100,7 +121,29 @@ _AFF = f"""WITH {MODEL_SQL},
 seen AS (SELECT DISTINCT event_id, person_id FROM parts WHERE person_id <> '{PERSON_B}' AND event_id IN (SELECT event_id FROM parts WHERE person_id = '{PERSON_B}')),
 scored AS (SELECT p.person_id, count(s.event_id) AS score FROM people p LEFT JOIN seen s USING (person_id) WHERE org_id = '{ORG_A}' GROUP BY 1)"""
 
+_CONTACTS = f"""WITH {MODEL_SQL}, got AS (SELECT * FROM mail_parts WHERE role IN {TO}), sent AS (SELECT * FROM mail_parts WHERE role = 'sender'),
+contacts AS ((SELECT g.person_id FROM got g JOIN sent s USING (event_id) WHERE s.person_id = '{PERSON_B}' UNION
+SELECT s.person_id FROM sent s JOIN got g USING (event_id) WHERE g.person_id = '{PERSON_B}' AND s.person_id IN (SELECT person_id FROM got)) EXCEPT SELECT '{PERSON_B}'),
+mine AS (SELECT DISTINCT event_id FROM mail_parts WHERE person_id = '{PERSON_B}')"""
+_CORRESPONDENTS = _CONTACTS + """, n AS (SELECT p.person_id, count(*) AS emails, max(struct_pack(a := event_at, e := event_id)) AS m FROM (SELECT DISTINCT event_id, person_id FROM mail_parts) p JOIN happenings USING (event_id)
+  WHERE event_id IN (FROM mine) AND p.person_id IN (FROM contacts) /*more*/ GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8)
+SELECT person_id, name, emails, m.a AS last_at, m.e AS last_event FROM n LEFT JOIN people USING (person_id)"""
+_FOUND = f"""WITH {MODEL_SQL}, seen AS (SELECT DISTINCT event_id, person_id FROM parts WHERE person_id <> '{PERSON_B}' AND event_id IN (SELECT event_id FROM parts WHERE person_id = '{PERSON_B}'))"""
+
 ORACLE_SQL = {
+    "find_person": _FOUND + "SELECT person_id AS id, 'Person' AS type, name, (SELECT count(*) FROM seen s WHERE s.person_id = p.person_id) AS score FROM people p WHERE name = 'Customer#000000005'",
+    "find_company": _FOUND + f"SELECT org_id AS id, 'Organization' AS type, name, (SELECT count(DISTINCT event_id) FROM seen JOIN people USING (person_id) WHERE people.org_id = o.org_id) AS score FROM orgs o WHERE name = '{COMPANY}'",
+    "find_records": f"WITH {MODEL_SQL} SELECT event_id AS id, CASE kind WHEN 'meeting' THEN 'Meeting' ELSE 'Document' END AS type, title AS name, NULL::BIGINT AS score, NULL AS email, NULL AS organization, event_at FROM happenings WHERE contains(title, 'order') AND contains(title, '99') ORDER BY event_at DESC NULLS LAST, event_id LIMIT 10",
+    "correspondents": _CORRESPONDENTS,
+    "outside_correspondents": _CORRESPONDENTS.replace("/*more*/", "AND p.person_id NOT IN (SELECT person_id FROM people JOIN orgs USING (org_id) WHERE is_internal)"),
+    "conversations": _CONTACTS + f"SELECT h.* FROM happenings h WHERE event_at IS NOT NULL AND event_id IN (FROM mine) AND event_id IN (SELECT event_id FROM sent WHERE person_id = '{PERSON_B}' OR person_id IN (FROM contacts))",
+    "company_person_facts": f"""WITH {MODEL_SQL}, a AS (SELECT event_id, list(role) AS roles_a FROM parts WHERE person_id = '{PERSON_B}' GROUP BY 1),
+b AS (SELECT event_id, person_id, list(role) AS roles_b FROM parts JOIN people USING (person_id) WHERE org_id = '{ORG_A}' AND person_id <> '{PERSON_B}' GROUP BY ALL),
+f AS (SELECT person_id, count(*) AS total, count(event_at) AS dated_total, count(*) FILTER ({_AB}) AS a_to_b, count(*) FILTER ({_BA}) AS b_to_a, min(event_at) AS first_at, max(event_at) AS last_at,
+max(event_at) FILTER ({_AB}) AS last_a_to_b, max(event_at) FILTER ({_BA}) AS last_b_to_a,
+min(struct_pack(a := event_at, e := event_id)).e AS first_event, max(struct_pack(a := event_at, e := event_id)).e AS last_event FROM happenings JOIN a USING (event_id) JOIN b USING (event_id) GROUP BY 1)
+SELECT *, (SELECT count(*) FROM f) AS people FROM f ORDER BY total DESC, person_id LIMIT 15""",
+    "linked_names": "SELECT c_custkey AS question_id, lower(replace(c_name, '#', ' ')) AS gram, 'c:' || c_custkey AS entity_id FROM customer",
     "parts_by_role": f"WITH {MODEL_SQL} SELECT role, count(*) AS n, count(DISTINCT person_id) AS people FROM parts GROUP BY 1",
     "events_by_kind": f"WITH {MODEL_SQL} SELECT kind, count(*) AS n, min(event_at) AS first_at, max(event_at) AS last_at FROM happenings GROUP BY 1",
     "contacts_of_company": _contacts_sql(),
@@ -135,6 +178,7 @@ FROM parts JOIN happenings USING (event_id) JOIN people USING (person_id) WHERE
     "pair_facts": f"""WITH {MODEL_SQL}, a AS (SELECT event_id, list(role) AS roles_a FROM parts WHERE person_id = '{PERSON_A}' GROUP BY 1), b AS (SELECT event_id, list(role) AS roles_b FROM parts WHERE person_id = '{PERSON_B}' GROUP BY 1)
 SELECT count(*) AS total, count(event_at) AS dated_total, count(*) FILTER ({_AB}) AS a_to_b, count(*) FILTER ({_BA}) AS b_to_a, min(event_at) AS first_at, max(event_at) AS last_at,
 max(event_at) FILTER ({_AB}) AS last_a_to_b, max(event_at) FILTER ({_BA}) AS last_b_to_a,
+(max(struct_pack(a := event_at, e := event_id)) FILTER ({_AB})).e AS last_a_to_b_event, (max(struct_pack(a := event_at, e := event_id)) FILTER ({_BA})).e AS last_b_to_a_event,
 min(struct_pack(a := event_at, e := event_id)).e AS first_event, max(struct_pack(a := event_at, e := event_id)).e AS last_event FROM happenings JOIN a USING (event_id) JOIN b USING (event_id)""",
     "people_network": f"""WITH {MODEL_SQL},
 pairs AS (SELECT s.person_id AS sender_id, g.person_id AS receiver_id, count(DISTINCT event_id) AS emails FROM mail_parts s JOIN mail_parts g USING (event_id)
