@@ -27,16 +27,16 @@ from attesta.llm.textarrays import slices
 
 #: ISO 639-1 codes by family.
 FAMILIES = {
-    "germanic": "en de nl sv da no nb nn is af lb fy yi",
-    "romance": "fr es it pt ro ca gl oc",
-    "slavic": "ru uk be pl cs sk sl hr sr bs bg mk",
-    "baltic": "lt lv",
-    "celtic": "ga gd cy br",
-    "uralic": "fi et hu",
-    "turkic": "tr az kk ky uz tk tt",
-    "indo-aryan": "hi ur bn pa gu mr ne si",
-    "dravidian": "ta te kn ml",
-    "semitic": "ar he am mt",
+    "germanic": ["en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "lb", "fy", "yi"],
+    "romance": ["fr", "es", "it", "pt", "ro", "ca", "gl", "oc"],
+    "slavic": ["ru", "uk", "be", "pl", "cs", "sk", "sl", "hr", "sr", "bs", "bg", "mk"],
+    "baltic": ["lt", "lv"],
+    "celtic": ["ga", "gd", "cy", "br"],
+    "uralic": ["fi", "et", "hu"],
+    "turkic": ["tr", "az", "kk", "ky", "uz", "tk", "tt"],
+    "indo-aryan": ["hi", "ur", "bn", "pa", "gu", "mr", "ne", "si"],
+    "dravidian": ["ta", "te", "kn", "ml"],
+    "semitic": ["ar", "he", "am", "mt"],
 }
 LENGTHS, BITS = (1, 2, 3, 4), 17
 MAX_ROWS, PER_LANGUAGE, MAX_CHARS = 8_000, 1_000, 30_000_000
@@ -46,7 +46,7 @@ SLICE = 1 << 20
 
 def family_of(lang: str) -> str:
     base = lang.lower().split("-")[0].split("_")[0]
-    return next((f for f, codes in FAMILIES.items() if base in codes.split()), f"only {lang}")
+    return next((f for f, codes in FAMILIES.items() if base in codes), f"only {lang}")
 
 
 def fit(texts: list, langs: list[str]) -> dict:

@@ -59,7 +59,9 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     rates = rates.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("int"))
     rates = rates.select("mix_source", "draws", _cdf(F.col("rate") / F.col("draws")).alias("cdf"))
     held = docs.join(F.broadcast(rates) if few else rates, F.col(source_col).eqNullSafe(F.col("mix_source")))
-    drawn = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda n, j: n + F.size(F.filter(F.col("cdf"), lambda c: c <= uniform(seed, F.col(id_col), j))))
+    # one hash for each draw, before the distribution function is read
+    us = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: uniform(seed, F.col(id_col), j))
+    drawn = F.aggregate(us, F.lit(0), lambda n, u: n + F.size(F.filter(F.col("cdf"), lambda c: c <= u)))
     held = held.withColumn("mix_copies", drawn).where("mix_copies > 0").drop("mix_source", "draws", "cdf")
     held = held.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
     held = held.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("mix_copy"))))

@@ -4,8 +4,9 @@ A file: the header MAGIC, then int64 counts (bits, documents, ids, blocks, ids i
 byte for each that says it is null, int64 ids of each document, int64 byte offsets of the blocks, and the blocks. A block holds BLOCK_IDS ids at
 ``bits`` bits each, low bit first, padded to a byte; any run of ids is read from its blocks alone.
 
-Tokenizing: the tokenizer's words never span ASCII white space, so each distinct space-free chunk (less a full stop or
-comma at its end, which the tokenizer cuts off) is encoded once by the tokenizers library and documents are put together from chunk ids in numpy.
+Tokenizing: where the tokenizer's own configuration says that its words never span white space, each distinct space-free chunk (less a full stop or
+comma at its end, which the tokenizer cuts off) is encoded once by the tokenizers library and documents are put together from chunk ids in numpy; other
+tokenizers encode whole texts.
 
 Documents are range-partitioned by id, so files follow each other in ascending id order; a task's files count
 only if the manifest names them, so repeated or lost tasks leave no trace. Defined cases: null and empty texts
@@ -15,6 +16,7 @@ other columns are ignored; a very long document may fill a file of its own.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -95,6 +97,35 @@ _TAIL[[44, 46]] = True
 _ALPHA[65:91] = _ALPHA[97:123] = True
 
 
+#: Steps that never look beyond white space, and leave out what is white.
+LOCAL_NORMALIZERS = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "BertNormalizer"}
+SPLITTERS = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}
+_PROBE = " a  b\tc\n d,e  "
+
+
+def words_end_at_spaces(config: dict) -> bool:
+    """Whether no token of a tokenizer (its own JSON) may hold or depend on white space, so that space-free chunks may be encoded apart.
+
+    The first step that cuts must drop white space: one of SPLITTERS, or a pattern that removes all but its matches and matches none of it. Normalizers
+    must be local; of replacements only white space by a space is. Anything else is encoded text by text.
+    """
+    steps = lambda part, name: [] if part is None else part[name] if part["type"] == "Sequence" else [part]
+    for n in steps(config.get("normalizer"), "normalizers"):
+        blank = n["type"] == "Replace" and n.get("content") == " " and n.get("pattern", {}).get("Regex") in (r"\s+", r"\s")
+        if n["type"] not in LOCAL_NORMALIZERS and not blank:
+            return False
+    cutters = steps(config.get("pre_tokenizer"), "pretokenizers")
+    if not cutters:
+        return False
+    first = cutters[0]
+    if first["type"] == "Split":
+        import regex
+
+        pattern = first["pattern"].get("Regex")
+        return bool(pattern) and first["behavior"] == "Removed" and bool(first["invert"]) and not any(x.isspace() for m in regex.finditer(pattern, _PROBE) for x in m.group())
+    return first["type"] in SPLITTERS
+
+
 class ChunkTokenizer:
     """Ids of whole texts from the ids of their distinct chunks.
 
@@ -111,6 +142,7 @@ class ChunkTokenizer:
         special = [(i, t) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.mark, self.mark_text = (special[0][0], special[0][1].content) if special else (None, "")
         say = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.by_chunk = words_end_at_spaces(json.loads(self.tokenizer.to_str()))
         #: Of these properties of the tokenizer fewer distinct chunks come; both are looked up, not assumed.
         self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AZaz") == "azaz"
         self.cuts_tail = all(say(w + e) == say(w) + say(e) for w in ("a", "word", "it's", "l'été", "x1y") for e in ".,")
@@ -146,6 +178,9 @@ class ChunkTokenizer:
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has."""
+        if not self.by_chunk:
+            got = [e.ids for e in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
         raw, offs = text_bytes(texts)
         starts, ends, rows = words(raw, offs)
         n = len(offs) - 1
