@@ -30,7 +30,7 @@ from attesta.llm.components import components, local_labels
 from attesta.llm.shared import Scratch
 from attesta.llm.textarrays import lean
 
-BLOCK, CHUNK, TILE = 8, 8192, 1024
+BLOCK, CHUNK, TILE = 16, 8192, 1024
 SLACK = 1e-9
 
 
