@@ -194,7 +194,9 @@ _LATEST = f"WITH {VERSIONS_SQL}, latest AS (SELECT document_id, max_by(struct_pa
 ORACLE_SQL = {
     "email_identity": EMAIL_SQL,
     "quoted_mail": QUOTED_SQL,
-    "number_sets": "SELECT doc_id, array_to_string(list_sort(list_distinct([x::BIGINT for x in regexp_extract_all(text, '\\d+') if length(x) <= 18])), ',') AS numbers FROM documents",
+    "number_sets": """WITH x AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\d+'), lambda d: CASE WHEN ltrim(d, '0') = '' THEN '0' ELSE ltrim(d, '0') END) AS ds FROM documents),
+u AS (SELECT DISTINCT doc_id, unnest(ds) AS d FROM x)
+SELECT doc_id, CASE WHEN ds IS NOT NULL THEN coalesce((SELECT string_agg(d, ',' ORDER BY length(d), d) FROM u WHERE u.doc_id = x.doc_id), '') END AS numbers FROM x""",
     "normalized_labels": "SELECT DISTINCT event_type, 'the value ' || event_type || ' of x' AS label, 'THE_VALUE_' || upper(event_type) || '_OF_X' AS relation_key FROM events",
     "normalized_names": "SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS name, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS name_key FROM customer",
     "edge_aggregation": _E + "SELECT * FROM edges",
