@@ -185,6 +185,24 @@ QUERIES = {
     "review_items": lambda s, d: R.raise_items(raised(s, d)).select("dedupe_key", "review_type", "frequency", F.array_join("examples", ",").alias("examples")),
 }
 
+_TAG = r"""(?:[^>"']|"[^"]*"|'[^']*')*""".replace("'", "''")
+
+
+def _page_sql() -> str:
+    """The markup rules one after another; entities that the pages use."""
+    c = "html"
+    for silent in T.SILENT:
+        c = f"regexp_replace({c}, '(?is)<{silent}\\b{_TAG}>.*?(?:</{silent}\\s*>|\\z)', '', 'g')"
+    c = f"regexp_replace({c}, '(?is)<!--.*?(?:-->|\\z)', '', 'g')"
+    c = f"regexp_replace({c}, '(?is)</?(?:{'|'.join(T.LINES)})\\b{_TAG}>', chr(10), 'g')"
+    c = f"regexp_replace({c}, '(?is)<[/!?]?[a-z]{_TAG}>', '', 'g')"
+    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        c = f"replace({c}, '{entity}', '{sign}')"
+    lines = f"array_to_string(list_transform(string_split({c}, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r]+', ' ', 'g'))), chr(10))"
+    return f"SELECT page_id, trim(regexp_replace({lines}, '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS text FROM pages"
+
+
+PAGE_SQL = _page_sql()
 _E = f"WITH {EVIDENCE_SQL} "
 _ENT = f"WITH {MODEL_SQL}, entities AS (SELECT person_id AS entity_id, 'Person' AS entity_type, name AS canonical_name, 'active' AS status FROM people UNION ALL SELECT org_id, 'Organization', name, 'active' FROM orgs)"
 _VIEW = f"{_ENT}, {EVIDENCE_SQL}, view AS (SELECT e.*, s.canonical_name AS source_name, s.entity_type AS source_type, t.canonical_name AS target_name, t.entity_type AS target_type FROM edges e JOIN entities s ON s.entity_id = e.source_id JOIN entities t ON t.entity_id = e.target_id) "
@@ -197,6 +215,7 @@ ORACLE_SQL = {
     "number_sets": """WITH x AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\d+'), lambda d: CASE WHEN ltrim(d, '0') = '' THEN '0' ELSE ltrim(d, '0') END) AS ds FROM documents),
 u AS (SELECT DISTINCT doc_id, unnest(ds) AS d FROM x)
 SELECT doc_id, CASE WHEN ds IS NOT NULL THEN coalesce((SELECT string_agg(d, ',' ORDER BY length(d), d) FROM u WHERE u.doc_id = x.doc_id), '') END AS numbers FROM x""",
+    "page_text": PAGE_SQL,
     "normalized_labels": "SELECT DISTINCT event_type, 'the value ' || event_type || ' of x' AS label, 'THE_VALUE_' || upper(event_type) || '_OF_X' AS relation_key FROM events",
     "normalized_names": "SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS name, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS name_key FROM customer",
     "edge_aggregation": _E + "SELECT * FROM edges",
