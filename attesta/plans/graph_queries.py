@@ -160,7 +160,7 @@ QUERIES = {
     "document_sections": sections,
     "page_text": lambda s, d: read(s, d, "pages").select("page_id", T.html_to_text("html").alias("text")),
     "normalized_names": lambda s, d: read(s, d, "customer").select("c_custkey", T.normalize_name("c_name").alias("name"), T.name_key(F.col("c_name")).alias("name_key")),
-    "question_grams": lambda s, d: read(s, d, "benchmark").select("item_id", F.size(T.question_grams(F.col("text"))).alias("grams")),
+    "question_grams": lambda s, d: read(s, d, "benchmark").select("item_id", F.array_join(T.question_grams(F.col("text")), "|").alias("grams")),
     "edge_aggregation": lambda s, d: G.aggregate_edges(evidence(s, d)),
     "edge_acceptance": lambda s, d: G.acceptance(G.aggregate_edges(evidence(s, d))).groupBy("relation", "provenance", "decision").agg(F.count("*").alias("n")),
     "edge_cardinality": lambda s, d: G.cardinality(evidence(s, d)).groupBy("relation", "decision").agg(F.count("*").alias("n"), F.max("place").alias("most")),
@@ -203,6 +203,10 @@ def _page_sql() -> str:
 
 
 PAGE_SQL = _page_sql()
+_RUNS = ", ".join(f"list_transform(range(1, greatest(len(w) - {n} + 2, 1)), lambda i: lower(array_to_string(list_slice(w, i, i + {n} - 1), ' ')))" for n in (4, 3, 2, 1))
+GRAMS_SQL = f"""WITH x AS (SELECT item_id, regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}@._+&''’-]+') AS xs FROM benchmark),
+q AS (SELECT item_id, list_filter(list_transform(xs, lambda x: regexp_replace(regexp_replace(x, '^[.''’&+-]+', ''), '(?:[''’]s)?[.''’&+-]*$', '')), lambda x: x <> '') AS w FROM x)
+SELECT item_id, replace(replace(array_to_string(flatten([{_RUNS}]), '|'), 'ß', 'ss'), 'ς', 'σ') AS grams FROM q"""
 _E = f"WITH {EVIDENCE_SQL} "
 _ENT = f"WITH {MODEL_SQL}, entities AS (SELECT person_id AS entity_id, 'Person' AS entity_type, name AS canonical_name, 'active' AS status FROM people UNION ALL SELECT org_id, 'Organization', name, 'active' FROM orgs)"
 _VIEW = f"{_ENT}, {EVIDENCE_SQL}, view AS (SELECT e.*, s.canonical_name AS source_name, s.entity_type AS source_type, t.canonical_name AS target_name, t.entity_type AS target_type FROM edges e JOIN entities s ON s.entity_id = e.source_id JOIN entities t ON t.entity_id = e.target_id) "
@@ -216,6 +220,7 @@ ORACLE_SQL = {
 u AS (SELECT DISTINCT doc_id, unnest(ds) AS d FROM x)
 SELECT doc_id, CASE WHEN ds IS NOT NULL THEN coalesce((SELECT string_agg(d, ',' ORDER BY length(d), d) FROM u WHERE u.doc_id = x.doc_id), '') END AS numbers FROM x""",
     "page_text": PAGE_SQL,
+    "question_grams": GRAMS_SQL,
     "normalized_labels": "SELECT DISTINCT event_type, 'the value ' || event_type || ' of x' AS label, 'THE_VALUE_' || upper(event_type) || '_OF_X' AS relation_key FROM events",
     "normalized_names": "SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS name, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS name_key FROM customer",
     "edge_aggregation": _E + "SELECT * FROM edges",
