@@ -48,8 +48,8 @@ e AS (SELECT DISTINCT event_id AS a, CASE role WHEN 'sender' THEN 'AUTHORED_BY'
 """
 
 
-def candidate_counts(spark, d):
-    return extract.candidate_edges(documents(spark, d)).groupBy("relation", "rule").agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("sources"), F.countDistinct("target_id").alias("targets"), F.min("confidence").alias("confidence"))
+def candidates(spark, d):
+    return extract.candidate_edges(documents(spark, d)).select("document_id", "source_id", "relation", "target_id", "rule", "confidence", "recipient_type")
 
 
 def links(spark, d):
@@ -172,7 +172,7 @@ def quoted_mail_documents(spark, d):
 
 
 QUERIES = {
-    "candidate_edges": candidate_counts,
+    "candidate_edges": candidates,
     "document_people": lambda s, d: persons(s, d).select("document_id", "local_id", "mailbox"),
     "handle_links": links,
     "compiled_edges": compiled_edges,
@@ -226,8 +226,9 @@ live AS (SELECT *, min(k) OVER (PARTITION BY name) AS first_k, min(k) OVER (PART
 SELECT 'd:' || k AS document_id, NULL AS entity_type, 'REVIEW' AS decision, 'NEW_ONTOLOGY_CANDIDATE' AS reason FROM c WHERE odd
 UNION ALL SELECT 'd:' || k, 'Person', CASE WHEN k = first_who THEN 'CREATED' ELSE 'MATCHED' END, 'identifier' FROM live WHERE addressed
 UNION ALL SELECT 'd:' || k, 'Person', CASE WHEN k = first_k THEN 'CREATED' ELSE 'REVIEW' END, CASE WHEN k = first_k THEN 'mention' ELSE 'AMBIGUOUS_ENTITY_MATCH' END FROM live WHERE NOT addressed""",
-    "candidate_edges": DOCS_SQL + """SELECT relation, CASE relation WHEN 'AUTHORED_BY' THEN 'email.from' WHEN 'SENT_TO' THEN 'email.recipients' ELSE 'email_domain_employment' END AS rule, count(*) AS n, count(DISTINCT a) AS sources, count(DISTINCT b) AS targets,
-CASE relation WHEN 'WORKS_AT' THEN 0.7 ELSE 1.0 END::DOUBLE AS confidence FROM e GROUP BY 1, 2""",
+    "candidate_edges": DOCS_SQL + """SELECT e.event_id AS document_id, CASE relation WHEN 'WORKS_AT' THEN 'person:' || a ELSE 'document:orders:' || substr(a, 3) END AS source_id, relation, CASE relation WHEN 'WORKS_AT' THEN 'org:' ELSE 'person:' END || b AS target_id,
+CASE relation WHEN 'AUTHORED_BY' THEN 'email.from' WHEN 'SENT_TO' THEN 'email.recipients' ELSE 'email_domain_employment' END AS rule, CASE relation WHEN 'WORKS_AT' THEN 0.7 ELSE 1.0 END::DOUBLE AS confidence,
+CASE relation WHEN 'SENT_TO' THEN t.role END AS recipient_type FROM e LEFT JOIN (SELECT event_id, mailbox, max(role) AS role FROM m WHERE role <> 'sender' GROUP BY ALL) t ON t.event_id = e.event_id AND t.mailbox = e.b AND relation = 'SENT_TO'""",
     "document_people": DOCS_SQL + "SELECT DISTINCT event_id AS document_id, 'person:' || mailbox AS local_id, mailbox FROM m",
     "handle_links": LINKS_SQL,
     "entity_violations": "SELECT CASE o_orderkey % 6 WHEN 0 THEN 'UNKNOWN_ENTITY_TYPE' WHEN 1 THEN 'MISSING_IDENTITY' WHEN 2 THEN 'UNKNOWN_IDENTIFIER_TYPE' WHEN 3 THEN 'UNKNOWN_PROPERTY' WHEN 4 THEN 'UNKNOWN_IDENTIFIER_TYPE,ROLE_NOT_APPLICABLE' ELSE '' END AS violations, count(*) AS n FROM orders GROUP BY 1",

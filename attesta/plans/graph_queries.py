@@ -162,11 +162,11 @@ QUERIES = {
     "normalized_names": lambda s, d: read(s, d, "customer").select("c_custkey", T.normalize_name("c_name").alias("name"), T.name_key(F.col("c_name")).alias("name_key")),
     "question_grams": lambda s, d: read(s, d, "benchmark").select("item_id", F.array_join(T.question_grams(F.col("text")), "|").alias("grams")),
     "edge_aggregation": lambda s, d: G.aggregate_edges(evidence(s, d)),
-    "edge_acceptance": lambda s, d: G.acceptance(G.aggregate_edges(evidence(s, d))).groupBy("relation", "provenance", "decision").agg(F.count("*").alias("n")),
-    "edge_cardinality": lambda s, d: G.cardinality(evidence(s, d)).groupBy("relation", "decision").agg(F.count("*").alias("n"), F.max("place").alias("most")),
+    "edge_acceptance": lambda s, d: G.acceptance(G.aggregate_edges(evidence(s, d))).select("source_id", "relation", "target_id", "provenance", "confidence", "decision"),
+    "edge_cardinality": lambda s, d: G.cardinality(evidence(s, d)),
     "implied_roles": lambda s, d: G.implied_roles(evidence(s, d)).select("entity_id", F.array_join("roles", ",").alias("roles")),
     "first_value_and_conflicts": first_status,
-    "evidence_keys": lambda s, d: G.attach_evidence(evidence(s, d)).groupBy("relation").agg(F.count("*").alias("n"), F.sum("doc_seq").alias("seqs")),
+    "evidence_keys": lambda s, d: G.attach_evidence(evidence(s, d)).select("source_id", "relation", "target_id", "evidence_key", "doc_seq"),
     "identifier_owners": lambda s, d: G.own_identifiers(identifiers(s, d).withColumn("doc_seq", F.length("entity_id"))),
     "entity_view": entity_page,
     "edge_view": lambda s, d: G.get_edges(edge_page(s, d), "Person", "VENDOR_OF", "Person"),
@@ -224,12 +224,12 @@ SELECT doc_id, CASE WHEN ds IS NOT NULL THEN coalesce((SELECT string_agg(d, ','
     "normalized_labels": "SELECT DISTINCT event_type, 'the value ' || event_type || ' of x' AS label, 'THE_VALUE_' || upper(event_type) || '_OF_X' AS relation_key FROM events",
     "normalized_names": "SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS name, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS name_key FROM customer",
     "edge_aggregation": _E + "SELECT * FROM edges",
-    "edge_acceptance": _E + "SELECT relation, provenance, CASE WHEN confidence >= CASE provenance WHEN 'STRUCTURED_SOURCE' THEN 0.60 WHEN 'EXPLICIT_TEXT' THEN 0.85 ELSE 1.01 END THEN 'ACCEPTED' ELSE 'REVIEW' END AS decision, count(*) AS n FROM edges GROUP BY ALL",
+    "edge_acceptance": _E + "SELECT source_id, relation, target_id, provenance, confidence, CASE WHEN confidence >= CASE provenance WHEN 'STRUCTURED_SOURCE' THEN 0.60 WHEN 'EXPLICIT_TEXT' THEN 0.85 ELSE 1.01 END THEN 'ACCEPTED' ELSE 'REVIEW' END AS decision FROM edges",
     "edge_cardinality": _E + """, f AS (SELECT source_id, relation, target_id, min(doc_seq) AS first FROM evidence GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY source_id, relation ORDER BY first, target_id) AS place FROM f)
-SELECT relation, CASE WHEN relation <> 'REPORTS_TO' OR place <= 1 THEN 'ACCEPTED' ELSE 'REVIEW' END AS decision, count(*) AS n, max(place)::INTEGER AS most FROM p GROUP BY 1, 2""",
+SELECT source_id, relation, target_id, place::INTEGER AS place, CASE WHEN relation <> 'REPORTS_TO' OR place <= 1 THEN 'ACCEPTED' ELSE 'REVIEW' END AS decision FROM p""",
     "implied_roles": _E + "SELECT DISTINCT source_id AS entity_id, 'Vendor' AS roles FROM evidence WHERE relation = 'VENDOR_OF'",
     "first_value_and_conflicts": _E + "SELECT source_id, 'linestatus' AS property, v AS value, array_to_string(list_sort(list_filter(vs, lambda x: x <> v)), ',') AS conflicts FROM (SELECT source_id, min(struct_pack(q := doc_seq, v := value)).v AS v, list_distinct(list(value)) AS vs FROM evidence GROUP BY 1)",
-    "evidence_keys": _E + "SELECT relation, count(*) AS n, sum(q)::BIGINT AS seqs FROM (SELECT relation, min(doc_seq) AS q FROM evidence GROUP BY source_id, relation, target_id, evidence_key) GROUP BY 1",
+    "evidence_keys": _E + "SELECT source_id, relation, target_id, evidence_key, min(doc_seq) AS doc_seq FROM evidence GROUP BY ALL",
     "identifier_owners": f"""SELECT identifier_type, value, min(struct_pack(n := length(entity_id), e := entity_id)).e AS entity_id FROM (
   SELECT entity_id, 'email' AS identifier_type, email AS value FROM ({EMAIL_SQL}) UNION ALL SELECT entity_id, 'mailbox', mailbox FROM ({EMAIL_SQL})) GROUP BY 1, 2""",
     "entity_view": _ENT + f""", a AS (SELECT * FROM ({EMAIL_SQL})), raw AS (WITH {ADDRESSES_SQL} SELECT * FROM addresses)
