@@ -501,7 +501,7 @@ def train(texts: DataFrame, scratch: Scratch, order: int = ORDER) -> Model:
     """A model of the column ``text``. order: words in the longest n-gram, 2 at least."""
     if order < 2:
         raise ValueError("the order is 2 or more")
-    parts = parts_of(texts.sparkSession)
+    parts = parts_of(texts.sparkSession, texts)
     vocabulary = read_vocabulary(texts, scratch, parts)
     rows, stats = texts.mapInArrow(_count(order, parts, vocabulary), _DDL), {}
     for level in range(order, 0, -1):

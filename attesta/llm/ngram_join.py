@@ -296,7 +296,7 @@ def _verify(size: int, percent: int):
 def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, chunk: int = CHUNK) -> DataFrame:
     """doc_id, row (hash of the text), n, link_id (one for each set of linked texts; null without words or id), component_id, for each row."""
     spark = docs.sparkSession
-    parts = parts_of(spark)
+    parts = parts_of(spark, docs)
     scratch = Scratch(spark, "jaccard")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     info = scratch.table(base.withColumn("row", F.xxhash64("text")).mapInArrow(_info(size), "doc_id long, row long, n long, lo long, hi long"), "info")

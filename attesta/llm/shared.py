@@ -55,8 +55,17 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def parts_of(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: What a part of a packed exchange should hold of the input at most, and a size at which the planner knows nothing.
+PART_BYTES, UNKNOWN_BYTES = 256 << 20, 1 << 60
+
+
+def parts_of(spark: SparkSession, rows: DataFrame | None = None) -> int:
+    """The session's shuffle partitions; more if the rows, by the planner's statistics, would give parts of more than PART_BYTES."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if rows is None:
+        return n
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return n if size >= UNKNOWN_BYTES else max(n, -(-size // PART_BYTES))
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:

@@ -364,7 +364,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id",
     if depth < 2 * ANCHOR:
         raise ValueError(f"the depth is {2 * ANCHOR} or more")
     spark = docs.sparkSession
-    parts = parts_of(spark)
+    parts = parts_of(spark, docs)
     scratch = Scratch(spark, "suffixes")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     base = base.withColumn("doc", F.coalesce(F.col("id").cast("long"), F.lit(-(2**63) + 1))).withColumn("check", F.xxhash64("id", "text").bitwiseAND(F.lit(2**32 - 1)))

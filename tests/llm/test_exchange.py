@@ -20,6 +20,16 @@ def test_parts_fill_partitions(spark):
     assert [r.parts for r in exchange.deal(rows, n).mapInArrow(count, "parts long").collect()] == [1] * n
 
 
+def test_parts_follow_the_input(spark, monkeypatch):
+    from attesta.llm import shared
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    n = shared.parts_of(spark)
+    assert shared.parts_of(spark, docs) == n == shared.parts_of(spark, spark.createDataFrame([("a",)], "text string"))
+    monkeypatch.setattr(shared, "PART_BYTES", 1 << 10)
+    assert shared.parts_of(spark, docs) > n
+
+
 def test_order_of():
     rng = np.random.default_rng(1)
     for key in (rng.integers(0, 2**63, 5000).astype(np.uint64), rng.integers(0, 50, 5000).astype(np.uint64), np.zeros(0, np.uint64), np.array([3], np.uint64)):
