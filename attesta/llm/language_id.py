@@ -39,7 +39,7 @@ FAMILIES = {
     "semitic": ["ar", "he", "am", "mt"],
 }
 LENGTHS, BITS = (1, 2, 3, 4), 17
-MAX_ROWS, PER_LANGUAGE, MAX_CHARS = 8_000, 1_000, 30_000_000
+MAX_ROWS, PER_LANGUAGE, MAX_CHARS = 4_000, 500, 30_000_000
 EPOCHS, PENALTY = 60, 1e-4
 SLICE = 1 << 20
 
