@@ -10,9 +10,10 @@ Two documents link when 100 * |A n B| >= percent * |A u B|. Steps, each over all
 4. Classes with identical kept prefixes and size collapse into one group. Pairs of groups that hold a common shingle are filtered by
    size and by place: as many shared shingles as a link asks for must be left in both, from this one on. Of a shingle of more than PAIRED groups
    neighbours in size are paired alone, which connects all that fit, so no list gives a square of pairs.
-5. Pairs are expanded to the members of their groups. Pairs that are connected travel together, so a text is sent once and not
-   with each partner; they meet in one task, or chunk by chunk, and links are verified exactly on whole sets. What is
-   already connected by verified links needs no test.
+5. Pairs are expanded to the members of their groups. Where more are connected than one task verifies, mostly by passages that many texts
+   share, steps 3 and 4 are done again with all shingles of these sets: three quarters of them must be shared with a set that is connected.
+6. Pairs that are still connected travel together, so a text is sent once and not with each partner; they meet in one task, or chunk by
+   chunk, and links are verified exactly on whole sets. What is already connected by verified links needs no test.
 
 Defined cases: a text of 1 to 4 words is one shingle of all its words; a text that is null, empty or without
 words has size 0 and links with nothing; repeated rows keep one row each; of rows that share an id each has the
@@ -116,6 +117,23 @@ def _postings(size: int, percent: int, parts: int):
     return run
 
 
+def _whole_postings(size: int, parts: int):
+    """All shingles of each class, as they are within its connected classes."""
+
+    def run(batches):
+        for b in slices(batches, "text", SLICE):
+            comp = mix64(b.column("comp").to_numpy().view(U64))
+            lo = b.column("lo").to_numpy().view(U64)
+            sets = shingle_sets(b.column("text"), size)
+            # the rows of an id may have other texts
+            some = [i for i, s in enumerate(sets) if len(s) and fingerprint(s)[0] == lo[i]]
+            if some:
+                token = np.concatenate([mix64(sets[i] ^ comp[i]) for i in some])
+                yield from X.blobs(X.part_of(token, parts), [token, np.repeat(lo[some], [len(sets[i]) for i in some])])
+
+    return run
+
+
 def _class_blobs(parts: int):
     def run(batches):
         for b in batches:
@@ -151,8 +169,8 @@ def _frequencies(parts: int):
 _KINDS = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("body", pa.binary())])
 
 
-def _groups(percent: int, parts: int):
-    """Kind 0: class, group, size. Kind 1: kept shingle, group, size, shared shingles from this one on."""
+def _groups(least, parts: int):
+    """Kind 0: class, group, size. Kind 1: kept shingle, group, size, shared shingles from this one on. least: posted shingles that sets of n have in common with a linked one."""
 
     def run(part, cols):
         cls, token, df = cols
@@ -168,7 +186,7 @@ def _groups(percent: int, parts: int):
             shared = np.diff(np.r_[first, len(cls)])
             own = cls[first]
             n = n_of[np.searchsorted(known, own)]
-            need = _extra(_least(n, percent), percent)
+            need = least(n)
             kept = np.maximum(shared - need + 1, 0)
             rank = np.arange(len(cls)) - np.repeat(first, shared)
             keep = rank < np.repeat(kept, shared)
@@ -192,7 +210,7 @@ def _groups(percent: int, parts: int):
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _pairs(percent: int):
+def _pairs(percent: int, least):
     """A forest of the pairs of groups that share a kept shingle and pass the filters."""
 
     def run(part, cols):
@@ -200,7 +218,7 @@ def _pairs(percent: int):
         order = np.lexsort((group, n, token))
         token, group, n, left = token[order], group[order], n[order].astype(np.int64), left[order].astype(np.int64)
         own, index = np.unique(group, return_inverse=True)
-        need = _extra(_least(n, percent), percent)
+        need = least(n)
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)])
         length = np.diff(np.r_[first, len(token)])
         size = np.repeat(length, length)
@@ -293,6 +311,21 @@ def _verify(size: int, percent: int):
     return run
 
 
+def _connected(posted: DataFrame, classes: DataFrame, percent: int, least, parts: int, scratch: Scratch, name: str) -> DataFrame:
+    """(lo, n, comp) of the classes that posted shingles leave as candidates; comp: those that may be linked, at once or by others."""
+    shared = X.reduce(posted, parts, (U64, U64), _frequencies(parts), X.BLOB)
+    kinds = scratch.table(X.reduce(shared.union(classes.select("lo", "n").mapInArrow(_class_blobs(parts), X.BLOB)), parts, (U64, U64, np.uint32), _groups(least, parts), "kind int, part int, body binary"), f"{name}-groups")
+    pairs = X.reduce(kinds.where("kind = 1").select("part", "body"), parts, (U64, U64, np.uint32, np.uint32), _pairs(percent, least), "u long, v long")
+    comps = scratch.table(components(pairs, scratch, name), f"{name}-found")
+    members = kinds.where("kind = 0").select("body").mapInArrow(_members, "lo long, grp long, n long")
+    return members.join(comps.select(F.col("node").alias("grp"), "component"), "grp", "left").select("lo", "n", F.coalesce("component", "grp").alias("comp"))
+
+
+def _sizes(members: DataFrame, chunk: int) -> DataFrame:
+    """(comp, k): the chunks that connected classes make, where there are two classes or more."""
+    return members.groupBy("comp").agg(F.count("*").alias("m"), F.greatest(F.lit(1), F.ceil(F.sum(F.col("n") + 32) / chunk)).cast("int").alias("k")).where("m > 1").drop("m")
+
+
 def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, chunk: int = CHUNK) -> DataFrame:
     """doc_id, row (hash of the text), n, link_id (one for each set of linked texts; null without words or id), component_id, for each row."""
     spark = docs.sparkSession
@@ -303,23 +336,28 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     live = info.where("n > 0 and doc_id is not null")
     classes = scratch.table(live.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep")), "classes")
     posted = base.where("doc_id is not null").select("text").mapInArrow(_postings(size, percent, parts), X.BLOB)
-    shared = X.reduce(posted, parts, (U64, U64), _frequencies(parts), X.BLOB)
-    kinds = scratch.table(X.reduce(shared.union(classes.select("lo", "n").mapInArrow(_class_blobs(parts), X.BLOB)), parts, (U64, U64, np.uint32), _groups(percent, parts), "kind int, part int, body binary"), "groups")
-    pairs = X.reduce(kinds.where("kind = 1").select("part", "body"), parts, (U64, U64, np.uint32, np.uint32), _pairs(percent), "u long, v long")
-    comps = scratch.table(components(pairs, scratch, "cand"), "candidates")
-    members = kinds.where("kind = 0").select("body").mapInArrow(_members, "lo long, grp long, n long")
-    members = members.join(comps.select(F.col("node").alias("grp"), "component"), "grp", "left").select("lo", "n", F.coalesce("component", "grp").alias("comp"))
+    members = _connected(posted, classes, percent, lambda n: _extra(_least(n, percent), percent), parts, scratch, "cand")
     reps = scratch.table(members.join(classes.select("lo", "n", "rep"), ["lo", "n"]).select("comp", "rep", "lo", "n"), "reps")
-    sizes = reps.groupBy("comp").agg(F.count("*").alias("m"), F.greatest(F.lit(1), F.ceil(F.sum(F.col("n") + 32) / chunk)).cast("int").alias("k")).where("m > 1")
-    cut = reps.join(sizes, "comp").withColumn("c", F.pmod(F.xxhash64("lo"), F.col("k")).cast("int"))
-    cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "comp", "rep", "lo",
-        F.when(F.col("k") == 1, F.pmod(F.xxhash64("comp"), F.lit(parts))).otherwise(F.col("comp")).alias("bin"),
-        F.when(F.col("k") == 1, -1).otherwise(F.least("c", "o")).alias("i"),
-        F.when(F.col("k") == 1, -1).otherwise(F.greatest("c", "o")).alias("j"),
-    )
-    links = base.join(cut.hint("merge"), F.col("doc_id") == F.col("rep")).select("comp", "lo", "text", "bin", "i", "j").groupBy("bin", "i", "j").applyInArrow(_verify(size, percent), "u long, v long")
+    scratch.drop("cand-groups", "cand-found")
+    some = reps.join(_sizes(reps, chunk), "comp").select("comp", "rep", "lo", "n", "k")
+    texts = scratch.table(base.join(some.hint("merge"), F.col("doc_id") == F.col("rep")).select("comp", "lo", "n", "k", "text"), "texts")
+    sent = texts.where("k = 1").select("comp", "lo", "text", F.pmod(F.xxhash64("comp"), F.lit(parts)).alias("bin"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
+    large = texts.where("k > 1")
+    if not large.isEmpty():
+        posted = large.select("comp", "lo", "text").mapInArrow(_whole_postings(size, parts), X.BLOB)
+        members = scratch.table(_connected(posted, large.select("lo", "n").distinct(), percent, lambda n: np.maximum(_least(n, percent), 1), parts, scratch, "whole"), "members")
+        scratch.drop("whole-groups", "whole-found")
+        cut = members.join(_sizes(members, chunk), "comp").withColumn("c", F.pmod(F.xxhash64("lo"), F.col("k")).cast("int"))
+        cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
+            "comp", "lo",
+            F.when(F.col("k") == 1, F.pmod(F.xxhash64("comp"), F.lit(parts))).otherwise(F.col("comp")).alias("bin"),
+            F.when(F.col("k") == 1, -1).otherwise(F.least("c", "o")).alias("i"),
+            F.when(F.col("k") == 1, -1).otherwise(F.greatest("c", "o")).alias("j"),
+        )
+        sent = sent.union(large.select("lo", "text").join(cut.hint("merge"), "lo").select(sent.columns))
+    links = sent.groupBy("bin", "i", "j").applyInArrow(_verify(size, percent), "u long, v long")
     found = scratch.table(components(links, scratch, "link"), "components")
+    scratch.drop("reps", "texts", "members")
     # links are between texts; the smallest id of linked texts is looked up at the end
     least = found.join(classes, F.col("node") == F.col("lo")).groupBy("component").agg(F.min("rep").alias("component_id"))
     found = found.join(least, "component")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -51,6 +52,31 @@ def test_ngram_join(documents, empty):
     assert ngram_join.ngram_jaccard_join(empty).count() == 0
 
 
+def test_ngram_join_sends_no_text_for_a_shared_passage(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(9)
+    say = lambda n: [f"w{k}" for k in rng.integers(0, 10**6, n)]
+    passage = say(20)
+    texts = [[*say(30), *passage, *say(30)] for _ in range(400)]
+    near = [[*t[:-1], "other"] for t in texts[:10]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts + near)], "doc_id long, text string")
+    verify = ngram_join._verify
+
+    def counted(size, percent):
+        run = verify(size, percent)
+
+        def count(table):
+            (tmp_path / f"{uuid.uuid4().hex}").write_text(str(table.num_rows))
+            return run(table)
+
+        return count
+
+    monkeypatch.setattr(ngram_join, "_verify", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_join(docs, chunk=5000).collect()}
+    assert got == {k: k if k < 400 else k - 400 for k in range(410)}
+    # 400 texts with one passage in common are several chunks, which would meet pair by pair
+    assert 20 <= sum(int(f.read_text()) for f in tmp_path.iterdir()) < 410
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_linked_equals_all_pairs(seed):
     rng = np.random.default_rng(seed)
