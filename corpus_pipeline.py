@@ -28,7 +28,9 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     alone = F.col("link_id").isNull()
     # of linked texts under one id, one
     first = found.groupBy("doc_id", "link_id", F.when(alone, F.col("row"))).agg(F.min("row").alias("first_row")).select(F.col("doc_id").alias("first_id"), "first_row")
-    kept = docs.join(first.hint("merge"), (docs["doc_id"] == F.col("first_id")) & (F.xxhash64(docs["text"]) == F.col("first_row")), "left_semi").dropDuplicates(["doc_id", "text"])
+    # dealt by id and row once: repeated rows are then in one place
+    kept = docs.withColumn("_row", F.xxhash64("text")).join(first.hint("merge"), (F.col("doc_id") == F.col("first_id")) & (F.col("_row") == F.col("first_row")), "left_semi")
+    kept = kept.dropDuplicates(["doc_id", "_row", "text"]).select(docs.columns)
     return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
