@@ -6,6 +6,8 @@ script are compared as name_key has them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -17,15 +19,20 @@ LONGEST, PREFIX, LEAD, SHOWN, TITLES = 4, 4, 3, 15, 10
 LEAST_LABEL = 3
 
 
-def grams(questions: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """question_id, gram, n_words, capital of every run of up to ``longest`` words."""
+def runs(questions: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """question_id, gram, n_words, capital of every run of up to ``longest`` words, wherever it stands."""
     q = questions.select("question_id", question_words(F.col("text")).alias("w")).where("size(w) > 0")
     q = q.select("question_id", "w", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n_words")).where("n_words <= size(w)")
     q = q.select("question_id", "w", "n_words", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n_words") + 1)).alias("at"))
     words = F.slice("w", F.col("at"), F.col("n_words"))
     said = q.select("question_id", "n_words", F.array_join(words, " ").alias("said"))
     # a script without upper case has no capitals to ask for
-    return said.withColumn("gram", fold(F.col("said"))).withColumn("capital", F.col("said").rlike(r"^[\p{Lu}\p{Lt}\p{Lo}]")).drop("said").distinct()
+    return said.withColumn("gram", fold(F.col("said"))).withColumn("capital", F.col("said").rlike(r"^[\p{Lu}\p{Lt}\p{Lo}]")).drop("said")
+
+
+def grams(questions: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """The runs, each once in a question."""
+    return runs(questions, longest).distinct()
 
 
 def entity_names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -41,22 +48,32 @@ def link_entities(questions: DataFrame, entities: DataFrame, identifiers: DataFr
     An address links to its owner; two words or more to a name or alias of a person or company or, where there is none and they are
     capitalised, to the company whose domain's label they make; one capitalised word to a company's name or domain label.
     """
+    # names are as many as entities, and so are never sent to every task
+    entities = entities.hint("merge")
     live = entities.where("status = 'active'")
     names = entity_names(entities, aliases).where("entity_type in ('Person', 'Organization')")
     labels = identifiers.where("identifier_type = 'domain'").join(live.select("entity_id"), "entity_id", "left_semi").select("entity_id", F.substring_index("value", ".", 1).alias("key"))
     owners = identifiers.where("identifier_type = 'email'").join(live.select("entity_id"), "entity_id", "left_semi").select("entity_id", F.col("value").alias("key"))
-    g = grams(questions)
-    address = g.where(F.contains("gram", F.lit("@")) & (F.col("n_words") == 1)).select("question_id", "gram", F.lower("gram").alias("key")).join(owners, "key").select("question_id", "gram", "entity_id")
-    plain = g.where(~F.contains("gram", F.lit("@"))).withColumn("key", name_key(F.col("gram"))).where("key <> ''")
-    several = plain.where("n_words > 1")
-    by_name = several.join(names, "key").select("question_id", "gram", "entity_id")
-    # words that make a domain's label: Bank of America, bankofamerica.com
-    nameless = several.where("capital").join(names.select("key"), "key", "left_anti").withColumn("key", F.replace("key", F.lit(" "), F.lit("")))
-    by_label = nameless.join(labels, "key").select("question_id", "gram", "entity_id")
+    # what a gram may stand for: an address, a name of several words, else the label they make (Bank of America, bankofamerica.com), or one word of a company
     companies = names.where("entity_type = 'Organization'").select("entity_id", "key").union(labels)
-    by_word = plain.where((F.col("n_words") == 1) & F.col("capital") & (F.length("key") >= LEAST_LABEL)).join(companies, "key").select("question_id", "gram", "entity_id")
-    hits = address.union(by_name).union(by_label).union(by_word)
-    one = hits.groupBy("question_id", "gram").agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id")).where("n = 1").drop("n")
+    known = [(owners, "address"), (names.select("entity_id", "key"), "name"), (labels, "label"), (companies, "word")]
+    known = reduce(DataFrame.union, [df.select("entity_id", "key", F.lit(kind).alias("kind")) for df, kind in known])
+    # a row for each key, however many have it: more than one is no link
+    known = known.groupBy("kind", "key").agg(F.min("entity_id").alias("low"), F.max("entity_id").alias("high"))
+    # a question is as many rows as it has runs of words, so questions are dealt before they are taken apart
+    g = runs(questions.repartition("question_id")).withColumn("name", name_key(F.col("gram")))
+    at, one_word = F.contains("gram", F.lit("@")), F.col("n_words") == 1
+    as_kind = lambda kind, key, when: F.when(when, F.struct(F.lit(kind).alias("kind"), key.alias("key")))
+    asked = F.array_compact(F.array(
+        as_kind("address", F.lower("gram"), at & one_word), as_kind("name", F.col("name"), ~at & ~one_word & (F.col("name") != "")),
+        as_kind("label", F.replace("name", F.lit(" "), F.lit("")), ~at & ~one_word & F.col("capital") & (F.col("name") != "")),
+        as_kind("word", F.col("name"), ~at & one_word & F.col("capital") & (F.length("name") >= LEAST_LABEL)),
+    ))
+    hits = g.select("question_id", "gram", F.explode(asked).alias("a")).select("question_id", "gram", "a.kind", "a.key").join(known.hint("merge"), ["kind", "key"])
+    # of one gram a label counts only where nobody has the name
+    plain = F.col("kind") != "label"
+    ends = [F.coalesce(f(F.when(plain, F.col(c))), f(c)).alias(c) for f, c in ((F.min, "low"), (F.max, "high"))]
+    one = hits.groupBy("question_id", "gram").agg(*ends).where("low = high").select("question_id", "gram", F.col("low").alias("entity_id"))
     # a question has a handful of linked grams
     all_grams = one.groupBy("question_id").agg(F.collect_list("gram").alias("others"))
     return one.join(all_grams, "question_id").where(~F.exists("others", lambda o: (F.length(o) > F.length("gram")) & F.contains(o, F.col("gram")))).drop("others")

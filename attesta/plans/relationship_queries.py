@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import interactions as I
 from attesta.operators import linking, search
-from attesta.plans.projection import MODEL_SQL, load
+from attesta.plans.projection import MODEL_SQL, load, project
 
 COMPANY = "NATION_1"
 ORG_A, ORG_B, PERSON_A, PERSON_B, EVENT = "n:3", "n:7", "c:5", "s:5", "o:3"
@@ -63,7 +63,7 @@ def _edges(m):
 
 def _linked(spark, d):
     """Questions about customers and nations, in several spellings."""
-    m = load(spark, d)
+    m = project(spark, d)
     k = F.col("c_custkey")
     spelt = F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, F.upper("c_name")).otherwise(F.concat("c_name", F.lit("'s")))
     q = spark.read.parquet(f"{d}/customer.parquet").select(k.alias("question_id"), F.concat(F.lit("did "), spelt, F.lit(" write to Bob in Å"), (k % 7).cast("string"), F.lit("?")).alias("text"))

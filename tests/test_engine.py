@@ -248,3 +248,27 @@ def test_long_numbers(spark):
     parts = [(k, t, [("R", "the total came to 0012 and 12345678901234567890 units")]) for k, t in [("good", "It was 12 and 12345678901234567890."), ("bad", "It was 12345678901234567891 and 3.")]]
     checked = verify.check_parts(spark.createDataFrame(parts, "part_id string, text string, citations array<struct<ref: string, quote: string>>"), ledger)
     assert {r.part_id: r.problems for r in checked.collect()} == {"good": [], "bad": ["numbers not in the evidence: 3, 12345678901234567891"]}
+
+
+def test_many_names_are_not_sent_to_every_task(spark, tmp_path):
+    from attesta.sources.work import hold
+
+    n = 200_000
+    ents = hold(spark.range(n).selectExpr("cast(id as string) entity_id", "'Person' entity_type", "concat('Ann Number', id) canonical_name", "'active' status"))
+    ids = spark.createDataFrame([], "entity_id string, identifier_type string, value string")
+    aliases = spark.createDataFrame([], "entity_id string, alias string")
+    q = hold(spark.range(n).selectExpr("id question_id", "concat('did Ann Number', id, ' write, Ann Number', id, '?') text"))
+    got = linking.link_entities(q, ents, ids, aliases)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # small files, but names of several MB in memory; and each question is taken apart once
+    assert plan.count("BroadcastExchange") == 0 and plan.count("Generate explode(sequence") <= 2
+    assert got.count() == n
+
+
+def test_name_of_two_or_of_nobody(spark):
+    ents = spark.createDataFrame([("p1", "Person", "Ann Lee", "active"), ("p2", "Person", "Ann Lee", "active"), ("o1", "Organization", "annlee.com", "active"), ("o2", "Organization", "big-corp.com", "active")], "entity_id string, entity_type string, canonical_name string, status string")
+    ids = spark.createDataFrame([("o1", "domain", "annlee.com"), ("o2", "domain", "bigcorp.com")], "entity_id string, identifier_type string, value string")
+    q = spark.createDataFrame([(1, "Ann Lee?"), (2, "ask Big Corp"), (3, "ask big corp")], "question_id long, text string")
+    got = {(r.question_id, r.gram, r.entity_id) for r in linking.link_entities(q, ents, ids, spark.createDataFrame([], "entity_id string, alias string")).collect()}
+    # two people have the name, so it is no link, and not the label's either
+    assert got == {(2, "big corp", "o2")}
