@@ -127,11 +127,12 @@ def contacts(parts: DataFrame, events: DataFrame, people: DataFrame, orgs: DataF
     Left out: ``of`` itself and people who only send. A person without an organization counts as external.
     """
     mine = parts.join(of, "person_id", "left_semi").select("event_id").distinct()
-    mine = _within(events, kind, since, until).join(mine, "event_id", "left_semi")
-    seen = parts.join(of, "person_id", "left_anti").select("event_id", "person_id").distinct()
+    mine = _within(events, kind, since, until).select("event_id", "event_at").join(mine, "event_id", "left_semi")
+    # only the parts of these events are looked at, by event; ``of`` is left out of the people that they give, who are few beside the parts
+    seen = parts.select("event_id", "person_id").join(mine, "event_id").distinct()
     last = F.max(F.struct("event_at", "event_id"))
-    out = seen.join(mine, "event_id").groupBy("person_id").agg(F.count("*").alias("events"), last["event_at"].alias("last_at"), last["event_id"].alias("last_event"))
-    out = out.join(receivers(parts), "person_id", "left_semi").join(people, "person_id", "left")
+    out = seen.groupBy("person_id").agg(F.count("*").alias("events"), last["event_at"].alias("last_at"), last["event_id"].alias("last_event"))
+    out = out.join(of, "person_id", "left_anti").join(receivers(parts), "person_id", "left_semi").join(people, "person_id", "left")
     out = out.join(orgs.select("org_id", F.col("name").alias("org_name"), "is_internal"), "org_id", "left").withColumn("is_internal", F.coalesce("is_internal", F.lit(False)))
     if scope != "all":
         out = out.where(F.col("is_internal") == (scope == "internal"))
@@ -191,7 +192,7 @@ def contact_set(parts: DataFrame, person_id: str) -> DataFrame:
     sent, got = mail.where(F.col("role") == SENDER), mail.where(F.col("role").isin(*RECEIVERS))
     wrote_to = got.join(sent.where(F.col("person_id") == person_id).select("event_id"), "event_id", "left_semi").select("person_id")
     wrote_me = sent.join(got.where(F.col("person_id") == person_id).select("event_id"), "event_id", "left_semi").select("person_id").distinct()
-    return wrote_to.union(wrote_me.join(got.select("person_id"), "person_id", "left_semi")).distinct().where(F.col("person_id") != person_id)
+    return wrote_to.union(wrote_me.join(receivers(got), "person_id", "left_semi")).distinct().where(F.col("person_id") != person_id)
 
 
 def conversations(parts: DataFrame, events: DataFrame, person_id: str) -> DataFrame:

@@ -272,3 +272,25 @@ def test_name_of_two_or_of_nobody(spark):
     got = {(r.question_id, r.gram, r.entity_id) for r in linking.link_entities(q, ents, ids, spark.createDataFrame([], "entity_id string, alias string")).collect()}
     # two people have the name, so it is no link, and not the label's either
     assert got == {(2, "big corp", "o2")}
+
+
+def test_parts_follow_the_size_of_the_tables(spark, sf_dir, monkeypatch):
+    from attesta.plans import projection
+
+    monkeypatch.setattr(projection, "PIECE_BYTES", 10_000, raising=False)
+    lines = projection.order_lines(spark, sf_dir)
+    assert lines.rdd.getNumPartitions() > 8
+
+
+def test_contacts_leave_out_people_after_counting(spark):
+    from attesta.operators import interactions as I
+
+    parts = spark.createDataFrame([("e1", "a", "sender"), ("e1", "b", "to"), ("e2", "b", "sender"), ("e2", "c", "to")], "event_id string, person_id string, role string")
+    events = spark.createDataFrame([("e1", "email", "t", "2020-01-01"), ("e2", "email", "t", "2020-01-02")], "event_id string, kind string, title string, event_at string")
+    people = spark.createDataFrame([(x, x, "o") for x in "abc"], "person_id string, name string, org_id string")
+    orgs = spark.createDataFrame([("o", "O", False)], "org_id string, name string, is_internal boolean")
+    got = I.contacts(parts, events, people, orgs, people.where("person_id = 'a'").select("person_id"))
+    assert [(r.person_id, r.events) for r in got.collect()] == [("b", 1)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # the anti-join stands above the count by person, not below it
+    assert plan.index("LeftAnti") < plan.index("count(1)")
