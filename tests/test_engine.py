@@ -294,3 +294,11 @@ def test_contacts_leave_out_people_after_counting(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     # the anti-join stands above the count by person, not below it
     assert plan.index("LeftAnti") < plan.index("count(1)")
+
+
+def test_texts_pass_in_small_batches(spark, sf_dir):
+    from attesta.plans import graph_queries
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    graph_queries.sections(spark, sf_dir)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
